@@ -46,6 +46,15 @@ def is_committed(spark: SparkSession, path: str) -> bool:
     return fs.exists(marker)
 
 
+def committed_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished ``batch=<number>`` folders below ``path``, in order."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(path, "batch=*/_SUCCESS")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def load_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
     """Reload a stage from ``path`` if it was committed, else compute and write it."""
     if not is_committed(spark, path):
