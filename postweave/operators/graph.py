@@ -79,19 +79,21 @@ def _downward(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Connect the larger neighbours of every vertex to its smallest neighbour or itself."""
-    both = links.select(F.col("high").alias("at"), F.col("low").alias("to")).unionByName(
-        links.select(F.col("low").alias("at"), F.col("high").alias("to")))
-    least = both.groupBy("at").agg(F.min("to").alias("to")).select(
-        "at", F.least("at", "to").alias("least"))
     upward = links.select(F.col("low").alias("at"), F.col("high").alias("to"))
-    joined = salted_join(upward, least, "at", "to", hot_rows=hot_rows)
+    both = upward.unionByName(links.select(F.col("high").alias("at"), F.col("low").alias("to")))
+    star = both.groupBy("at").agg(F.min("to").alias("to"), F.count("*").alias("degree"))
+    hot = star.filter(F.col("degree") > hot_rows)
+    least = star.select("at", F.least("at", "to").alias("least"))
+    joined = salted_join(upward, least, "at", "to", hot)
     return joined.select(F.col("to").alias("high"), F.col("least").alias("low")).distinct()
 
 
 def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
     """Connect every vertex and its smaller neighbours to the smallest of these."""
-    least = links.groupBy("high").agg(F.min("low").alias("least"))
-    joined = salted_join(links, least, "high", "low", hot_rows=hot_rows)
+    star = links.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("degree"))
+    hot = star.filter(F.col("degree") > hot_rows)
+    least = star.select("high", "least")
+    joined = salted_join(links, least, "high", "low", hot)
     return _downward(joined.select(F.col("low").alias("high"), F.col("least").alias("low")).unionByName(
         least.select("high", F.col("least").alias("low"))))
 

@@ -15,14 +15,18 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     return rows.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how: str = "inner",
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str,
+                hot: DataFrame | None = None, how: str = "inner",
                 hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Join ``rows`` with ``lookup``, which has one row per ``key``.
 
     Rows of frequent keys are spread by ``spread`` over ``salts`` tasks and their
-    single lookup row is repeated for each; all other keys join as usual.
+    single lookup row is repeated for each; all other keys join as usual. The frequent
+    keys are counted unless ``hot`` names them, so ``rows`` should be a stored table.
     """
-    hot = hot_keys(rows, key, hot_rows).withColumn("hot", F.lit(True))
+    if hot is None:
+        hot = hot_keys(rows, key, hot_rows)
+    hot = hot.select(key, F.lit(True).alias("hot"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     ours = rows.join(hot, key, "left").withColumn("salt", F.coalesce(salt, F.lit(0))).drop("hot")

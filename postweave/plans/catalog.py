@@ -50,6 +50,11 @@ def _near(posts: DataFrame, n: int = N, mode: str = "reference") -> DataFrame:
     return neighbors.explode_neighbors(neighbors.nearest_neighbors(posts, n, mode))
 
 
+def _stored(posts: DataFrame) -> DataFrame:
+    """The neighbour edges as a table, for plans that read them more than once."""
+    return materialize(_near(posts), "near")
+
+
 def _rounded(edges: DataFrame, *distances: str) -> DataFrame:
     return edges.withColumns({d: F.round(d, 6) for d in distances or ("sentence_distance",)})
 
@@ -403,7 +408,7 @@ def most_similar(spark, folder):
 
 def _closest(spark, folder, column, k):
     posts = _vectors(spark, folder)
-    edges = elements.attach_endpoints(_near(posts), posts, [column])
+    edges = elements.attach_endpoints(_stored(posts), posts, [column])
     best = elements.closest_elements(k)(column, column + "_2").alias("best")
     couples = F.transform("best.couples", lambda c: F.concat_ws(
         "-", c["first"].cast("string"), c["second"].cast("string")))
@@ -425,7 +430,7 @@ def closest_hashtags(spark, folder):
 @query
 def attach_arrays(spark, folder):
     posts = _vectors(spark, folder)
-    attached = elements.attach_endpoints(_near(posts), posts, ["word_embeddings"])
+    attached = elements.attach_endpoints(_stored(posts), posts, ["word_embeddings"])
     return attached.select(
         "src", "dst", _checksum(F.col("word_embeddings")).alias("checksum"),
         _checksum(F.col("word_embeddings_2")).alias("checksum_2"))
@@ -465,7 +470,7 @@ def in_degrees(spark, folder):
 
 def _ruled(spark, folder):
     posts = _vectors(spark, folder)
-    labelled = learn.edge_labels(_near(posts), rows.vertices(posts))
+    labelled = learn.edge_labels(_stored(posts), rows.vertices(posts))
     return labelled.withColumn(
         "prediction", (F.col("sentence_distance") < CLOSE).cast("int"))
 
@@ -499,7 +504,7 @@ def union_posts(spark, folder):
 
 def _edges(spark, folder):
     posts = _vectors(spark, folder)
-    return elements.proximity_edges(_near(posts), posts)
+    return elements.proximity_edges(_stored(posts), posts)
 
 
 @query
@@ -510,30 +515,30 @@ def proximity_edges(spark, folder):
 @query
 def edge_labels(spark, folder):
     posts = _vectors(spark, folder)
-    return _rounded(learn.edge_labels(_near(posts), rows.vertices(posts)))
+    return _rounded(learn.edge_labels(_stored(posts), rows.vertices(posts)))
 
 
 @query
 def undirected_edges(spark, folder):
-    return graph.undirected_edges(_near(_vectors(spark, folder)))
+    return graph.undirected_edges(_stored(_vectors(spark, folder)))
 
 
 @query
 def dangling_edges(spark, folder):
     posts = _vectors(spark, folder)
-    return graph.dangling_edges(_near(posts), rows.has_hashtags(posts)).select("src", "dst")
+    return graph.dangling_edges(_stored(posts), rows.has_hashtags(posts)).select("src", "dst")
 
 
 @query
 def connected_components(spark, folder):
     posts = _vectors(spark, folder)
-    return graph.connected_components(rows.vertices(posts), _rule(_near(posts)))
+    return graph.connected_components(rows.vertices(posts), _rule(_stored(posts)))
 
 
 @query
 def topic_summary(spark, folder):
     posts = _vectors(spark, folder)
-    topics = graph.connected_components(rows.vertices(posts), _rule(_near(posts)))
+    topics = graph.connected_components(rows.vertices(posts), _rule(_stored(posts)))
     return graph.topic_summary(topics, rows.vertices(posts)).withColumn("purity", F.round("purity", 6))
 
 

@@ -18,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a table with fewer files than there are cores among all of them.
+
+    Tables of many files are left as they are: their splits already keep the cluster busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def with_dates(df: DataFrame, key: str) -> DataFrame:
     """Give every row a day of the bucketed range, as year, month and day."""
     offset = F.pmod(F.col(key) * DAY_STEP, F.lit(DAY_SPAN)).cast("int")
@@ -47,6 +56,6 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
         repost, F.col("text"), F.lit(" #"), F.initcap("lang"), F.lit("Topic"),
         (F.col("doc_id") % 7).cast("string"), F.lit(" @"), F.col("source"),
         F.lit(" https://ex.example/"), F.col("doc_id").cast("string"))
-    return with_dates(table(spark, folder, "documents"), "doc_id").select(
+    return with_dates(spread(table(spark, folder, "documents")), "doc_id").select(
         F.col("source").alias("label"), F.col("doc_id").alias("id"),
         "year", "month", "day", text.alias("text"), "lang")
