@@ -60,40 +60,47 @@ def component_stars(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(id, component)`` for all endpoints but the smallest of each component."""
     links = materialize(_downward(edges.select(
         F.col("src").alias("high"), F.col("dst").alias("low"))), "links")
-    before = None
+    before = _fingerprint(links)
     for _ in range(MAX_ROUNDS):
-        links = materialize(_small_star(_large_star(links, hot_rows), hot_rows), "links")
+        # Among no more than hot_rows links, no vertex can have more.
+        salted = before[0] > hot_rows
+        links = materialize(
+            _small_star(_large_star(links, salted, hot_rows), salted, hot_rows), "links")
         # Equal sets of links have equal fingerprints; a fixed point is a set of stars.
-        now = links.agg(
-            F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
+        now = _fingerprint(links)
         if now == before:
             return links.select(F.col("high").alias("id"), F.col("low").alias("component"))
         before = now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    return tuple(links.agg(
+        F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())
+
+
 def _downward(links: DataFrame) -> DataFrame:
     return links.filter(F.col("high") != F.col("low")).select(
         F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct()
 
 
-def _large_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(links: DataFrame, salted: bool, hot_rows: int) -> DataFrame:
     """Connect the larger neighbours of every vertex to its smallest neighbour or itself."""
     upward = links.select(F.col("low").alias("at"), F.col("high").alias("to"))
     both = upward.unionByName(links.select(F.col("high").alias("at"), F.col("low").alias("to")))
     star = both.groupBy("at").agg(F.min("to").alias("to"), F.count("*").alias("degree"))
-    hot = star.filter(F.col("degree") > hot_rows)
     least = star.select("at", F.least("at", "to").alias("least"))
-    joined = salted_join(upward, least, "at", "to", hot)
+    hot = star.filter(F.col("degree") > hot_rows) if salted else None
+    joined = salted_join(upward, least, "at", "to", hot) if salted else upward.join(least, "at")
     return joined.select(F.col("to").alias("high"), F.col("least").alias("low")).distinct()
 
 
-def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(links: DataFrame, salted: bool, hot_rows: int) -> DataFrame:
     """Connect every vertex and its smaller neighbours to the smallest of these."""
     star = links.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("degree"))
-    hot = star.filter(F.col("degree") > hot_rows)
     least = star.select("high", "least")
-    joined = salted_join(links, least, "high", "low", hot)
+    hot = star.filter(F.col("degree") > hot_rows) if salted else None
+    joined = salted_join(links, least, "high", "low", hot) if salted else links.join(least, "high")
     return _downward(joined.select(F.col("low").alias("high"), F.col("least").alias("low")).unionByName(
         least.select("high", F.col("least").alias("low"))))
 
