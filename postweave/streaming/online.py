@@ -19,8 +19,8 @@ MERGE_SCHEMA = "component bigint, root bigint"
 BUFFER_SCHEMA = "id bigint, sentence_embeddings array<float>, time_bucket int"
 
 
-def _write_batch(df: DataFrame, path: str, number: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def _write_batch(df: DataFrame, path: str, number: int, *partition: str) -> None:
+    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/batch={number}")
 
 
 def _read_batches(spark: SparkSession, path: str, below: int | None, schema: str) -> DataFrame:
@@ -38,7 +38,7 @@ class NeighborStream:
     """Finds the nearest buffered or simultaneous posts of every arriving post.
 
     The buffer is a table with the posts of the last ``window`` time buckets before
-    the newest one; older buckets are pruned from each read. Posts older than that on
+    the newest one, partitioned by bucket: older ones are pruned from each read. Posts older than that on
     arrival go to the ``late`` table, for the batch path.
     """
 
@@ -57,7 +57,7 @@ class NeighborStream:
         found = nearest_in_buffer(timely, kept, self.n)
         _write_batch(found, f"{self.path}/neighbors", number)
         _write_batch(late, f"{self.path}/late", number)
-        _write_batch(timely, f"{self.path}/buffer", number)
+        _write_batch(timely, f"{self.path}/buffer", number, "time_bucket")
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (

@@ -159,3 +159,8 @@ def test_embedding(spark, monkeypatch):
     first = V.embed_tokens(df).filter("id = 1").select(
         V.finish_vector(F.col("word_embeddings")).alias("v")).first()["v"]
     assert len(first) == V.HASH_DIMENSIONS and max(abs(first.toArray())) <= 1
+
+
+def test_scratch_is_per_application(spark):
+    path = storage.scratch_path(spark, "x")
+    assert spark.sparkContext.applicationId in path and path != storage.scratch_path(spark, "x")
