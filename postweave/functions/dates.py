@@ -15,13 +15,16 @@ BUCKETS = 10
 
 def cast_date_parts(df: DataFrame) -> DataFrame:
     """Turn textual year, month and day into integers (unreadable ones into NULL)."""
-    parts = {c: F.col(c).cast("string").try_cast("int") for c in ("year", "month", "day")}
-    return df.withColumns(parts)
+    types = dict(df.dtypes)
+    return df.withColumns({
+        c: F.col(c).try_cast("int") if types[c] == "string" else F.col(c).cast("int")
+        for c in ("year", "month", "day")})
 
 
 def parts_to_date(year: Column, month: Column, day: Column) -> Column:
-    """A date, or NULL where the parts name no calendar day."""
-    return F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d")
+    """A date, or NULL where the integers name no calendar day."""
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(year, month, day, zero, zero, zero).cast("date")
 
 
 def date_ordinal(date: Column) -> Column:

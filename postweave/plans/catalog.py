@@ -14,7 +14,7 @@ from postweave.plans import offline
 from postweave.sources import derive, tables
 from postweave.storage import materialize, scratch_path
 from postweave.streaming import ingest
-from postweave.streaming.online import ComponentStream, NeighborStream
+from postweave.streaming.online import ComponentStream, NeighborStream, TopicStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,24 +640,50 @@ def stream_enrich(spark, folder):
 
 
 # Time buckets that arrive together in the neighbour stream.
-ARRIVAL = 4
+ARRIVAL = 6
 
 
-@query
-def stream_neighbors(spark, folder):
-    posts = _vectors(spark, folder).select("id", "sentence_embeddings", "time_bucket")
-    arrivals = scratch_path(spark, "arrivals")
-    found = NeighborStream(spark, scratch_path(spark, "online"), N, window=ARRIVAL)
-    last = posts.agg(F.max("time_bucket")).first()[0]
-    for group in range(last // ARRIVAL + 1):
+def _arrive(posts: DataFrame, online) -> None:
+    """Let posts arrive in order of time, a few buckets at once."""
+    spark, arrivals = posts.sparkSession, scratch_path(posts.sparkSession, "arrivals")
+    first, last = posts.agg(F.min("time_bucket"), F.max("time_bucket")).first()
+    for group in range(first // ARRIVAL, last // ARRIVAL + 1):
         # The stream stops when its input is used up and resumes from its checkpoint.
         part = posts.filter(F.floor(F.col("time_bucket") / ARRIVAL) == group)
         part.write.mode("append").parquet(arrivals)
         stream = spark.readStream.schema(posts.schema).parquet(arrivals)
-        found.start(stream).awaitTermination()
+        online.start(stream).awaitTermination()
+
+
+@query
+def stream_neighbors(spark, folder):
+    posts = _vectors(spark, folder).select("id", "sentence_embeddings", "time_bucket")
+    found = NeighborStream(spark, scratch_path(spark, "online"), N, window=ARRIVAL)
+    _arrive(posts, found)
     return _rounded(neighbors.explode_neighbors(found.neighbors()))
 
 
+@query
+def stream_topics(spark, folder):
+    posts = _vectors(spark, folder).select(
+        "id", "sentence_embeddings", "word_embeddings", "hashtags_embeddings", "time_bucket")
+    topics = TopicStream(spark, scratch_path(spark, "online"), _rule, N, window=ARRIVAL)
+    _arrive(posts, topics)
+    return topics.components()
+
+
+@query
+def stream_scored_topics(spark, folder):
+    # The classifier learns from the earlier posts and cuts the edges of the later ones.
+    fresh, early = _arrivals(spark, folder)
+    edges = materialize(elements.proximity_edges(_stored(early), early), "edges")
+    model = learn.fit_edge_classifier(learn.edge_labels(edges, rows.vertices(early)))
+    topics = TopicStream(spark, scratch_path(spark, "online"), lambda found: graph.cut_edges(
+        learn.score_edges(model, found)), N, window=ARRIVAL)
+    _arrive(fresh.drop("label", "text", "day_ordinal"), topics)
+    return topics.components()
+
+
 @query
 def stream_components(spark, folder):
     edges = _rule(_near(_vectors(spark, folder))).select("src", "dst")

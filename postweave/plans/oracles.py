@@ -114,7 +114,8 @@ labelled AS (
   FROM near JOIN fx a ON a.id = src JOIN fx b ON b.id = dst)"""
 
 
-COMPONENTS = f"""{_near()},
+def _components(mode: str = "reference") -> str:
+    return f"""{_near(mode)},
 kept AS (SELECT src, dst FROM near WHERE d < {CLOSE}),
 both_ways AS (SELECT src, dst FROM kept UNION SELECT dst, src FROM kept),
 reached AS (
@@ -122,6 +123,7 @@ reached AS (
   UNION SELECT r.id, b.dst FROM reached r JOIN both_ways b ON b.src = r.seen),
 topics AS (SELECT id, min(seen) AS component FROM reached GROUP BY id)"""
 
+
 FLAT = rf"""{POSTS},
 flat AS (
   SELECT *, regexp_replace(replace(
@@ -311,8 +313,8 @@ ORACLES: dict[str, str] = {
     "dangling_edges": f"""WITH {_near()}
         SELECT src, dst FROM near JOIN fx a ON a.id = src JOIN fx b ON b.id = dst
         WHERE len(a.tags) = 0 OR len(b.tags) = 0""",
-    "connected_components": f"WITH RECURSIVE {COMPONENTS} SELECT id, component FROM topics",
-    "topic_summary": f"""WITH RECURSIVE {COMPONENTS}, counted AS (
+    "connected_components": f"WITH RECURSIVE {_components()} SELECT id, component FROM topics",
+    "topic_summary": f"""WITH RECURSIVE {_components()}, counted AS (
         SELECT component, label, count(*) AS n FROM topics JOIN fx USING (id) GROUP BY component, label),
         ranked AS (SELECT *, sum(n) OVER (PARTITION BY component) AS size,
           row_number() OVER (PARTITION BY component ORDER BY n DESC, label) AS place FROM counted)
@@ -338,7 +340,8 @@ ORACLES: dict[str, str] = {
           CAST((day - DATE '2012-01-01') // 182 AS INTEGER) AS time_bucket,
           CAST(len(regexp_extract_all(clean, '{TOKEN}')) AS INTEGER) AS n_tokens FROM cleaned""",
     "stream_neighbors": _neighbors("stream"),
-    "stream_components": f"""WITH RECURSIVE {COMPONENTS}
+    "stream_topics": f"WITH RECURSIVE {_components('stream')} SELECT id, component FROM topics",
+    "stream_components": f"""WITH RECURSIVE {_components()}
         SELECT id, component FROM topics
         WHERE id IN (SELECT src FROM kept UNION SELECT dst FROM kept)""",
 }

@@ -6,17 +6,24 @@ batch that is run again after a failure gives the same result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postweave.operators.elements import proximity_edges
 from postweave.operators.graph import component_stars
-from postweave.operators.neighbors import NEIGHBORS, nearest_in_buffer
+from postweave.operators.neighbors import NEIGHBORS, explode_neighbors, nearest_in_buffer
 from postweave.storage import committed_batches, materialize
 from postweave.streaming.ingest import split_late
 
 LINK_SCHEMA = "id bigint, component bigint"
 MERGE_SCHEMA = "component bigint, root bigint"
 BUFFER_SCHEMA = "id bigint, sentence_embeddings array<float>, time_bucket int"
+ARRAY_SCHEMA = ("id bigint, word_embeddings array<array<float>>, "
+                "hashtags_embeddings array<array<float>>, time_bucket int")
+EDGE_SCHEMA = ("src bigint, dst bigint, sentence_distance double, word_distance double, "
+               "hashtag_distance double, relationship array<float>")
 
 
 def _write_batch(df: DataFrame, path: str, number: int, *partition: str) -> None:
@@ -66,11 +73,18 @@ class NeighborStream:
             .trigger(availableNow=True).start()
         )
 
+    def found(self, number: int) -> DataFrame:
+        """The neighbours of the posts of one batch."""
+        return self.spark.read.schema(f"id bigint, neighbors {NEIGHBORS}").parquet(
+            f"{self.path}/neighbors/batch={number}")
+
     def neighbors(self) -> DataFrame:
+        """The neighbours of all posts that arrived in time."""
         return _read_batches(self.spark, f"{self.path}/neighbors", None,
                              f"id bigint, neighbors {NEIGHBORS}")
 
     def late(self) -> DataFrame:
+        """The posts that arrived too late."""
         return _read_batches(self.spark, f"{self.path}/late", None, BUFFER_SCHEMA)
 
 
@@ -130,3 +144,51 @@ class ComponentStream:
             .option("checkpointLocation", f"{self.path}/checkpoint")
             .trigger(availableNow=True).start()
         )
+
+
+class TopicStream:
+    """Topics while vectorised posts arrive: neighbours, edges, cut, components.
+
+    ``accept`` keeps the edges within a topic, for example by a fitted classifier:
+    ``lambda edges: cut_edges(score_edges(model, edges))``. Arrays are read back only for
+    the time buckets that can still be neighbours.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, accept: Callable[[DataFrame], DataFrame],
+                 n: int = 12, words: int = 3, hashtags: int = 9, window: int = 1):
+        self.spark, self.path, self.accept = spark, path, accept
+        self.words, self.hashtags, self.window = words, hashtags, window
+        self.near = NeighborStream(spark, f"{path}/near", n, window)
+        self.topics = ComponentStream(spark, f"{path}/topics")
+
+    def update(self, batch: DataFrame, number: int) -> None:
+        columns = ("id", "sentence_embeddings", "word_embeddings", "hashtags_embeddings", "time_bucket")
+        posts = materialize(batch.select(*columns), "arrived")
+        self.near.update(posts, number)
+        _write_batch(posts.drop("sentence_embeddings"), f"{self.path}/arrays", number, "time_bucket")
+        known = _read_batches(self.spark, f"{self.path}/arrays", number + 1, ARRAY_SCHEMA)
+        newest = known.agg(F.max("time_bucket")).first()[0]
+        if newest is not None:
+            known, _ = split_late(known, newest, self.window)
+        edges = proximity_edges(
+            explode_neighbors(self.near.found(number)), known, self.words, self.hashtags)
+        _write_batch(edges, f"{self.path}/edges", number)
+        stored = self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.path}/edges/batch={number}")
+        # A post without accepted edges is a topic of its own: it is linked to itself.
+        alone = posts.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+        self.topics.update(self.accept(stored).select("src", "dst").unionByName(alone), number)
+
+    def start(self, stream: DataFrame) -> StreamingQuery:
+        return (
+            stream.writeStream.foreachBatch(self.update)
+            .option("checkpointLocation", f"{self.path}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+
+    def edges(self) -> DataFrame:
+        """All scored edges."""
+        return _read_batches(self.spark, f"{self.path}/edges", None, EDGE_SCHEMA)
+
+    def components(self) -> DataFrame:
+        """``(id, component)`` of all posts that arrived."""
+        return self.topics.components()

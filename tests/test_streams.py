@@ -62,3 +62,22 @@ def test_stream_of_one_bucket(spark):
     assert {i: found[i] for i, _, _ in rows[20:]}.keys() == {i for i, _, _ in rows[20:]}
     same({i: found[i] for i, _, _ in rows[20:]},
          brute_force(rows, 3, "all", fresh={i for i, _, _ in rows[20:]}))
+
+
+def test_topic_stream_equals_batch_on_its_edges(spark):
+    from postweave.operators import graph
+
+    rows = [(i, v, b, [v[:3], v[3:]], [v[:3]] if i % 2 else []) for i, v, b in clustered(11, 90, 3)]
+    schema = SCHEMA + ", word_embeddings array<array<float>>, hashtags_embeddings array<array<float>>"
+    posts = spark.createDataFrame(rows, schema)
+    accept = lambda edges: edges.filter("sentence_distance < 0.01 AND word_distance < 0.02")
+    from postweave.streaming.online import TopicStream
+
+    online = TopicStream(spark, scratch_path(spark, "test-online"), accept, n=3)
+    for bucket in range(3):
+        online.update(posts.filter(F.col("time_bucket") == bucket), bucket)
+    edges = online.edges()
+    assert edges.filter("hashtag_distance IS NULL").count() > 0
+    assert edges.filter("word_distance IS NULL").count() == 0
+    batch = graph.connected_components(posts.select("id"), accept(edges))
+    assert sorted(online.components().collect()) == sorted(batch.collect())
