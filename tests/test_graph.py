@@ -37,8 +37,9 @@ STAR = (list(range(10, 40)), [(25, i) for i in range(10, 40)])
 ODD = ([1, 2, 3, 7], [(1, 1), (2, 3), (3, 2), (2, 3), (3, 99)])
 
 
-@pytest.mark.parametrize("ids,edges", [PATH, STAR, ODD, ([1, 2], []), random_graph(3, 120, 90)])
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
+@pytest.mark.parametrize("ids,edges,hot_rows", [
+    (*PATH, 1_000_000), (*STAR, 2), (*STAR, 1_000_000), (*ODD, 2), ([1, 2], [], 2),
+    (*random_graph(3, 120, 90), 4)])
 def test_components(spark, ids, edges, hot_rows):
     vertices, links = frames(spark, ids, edges)
     found = {r[0]: r[1] for r in G.connected_components(vertices, links, hot_rows).collect()}

@@ -119,8 +119,10 @@ def test_stage_reload(spark, tmp_path):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    configured = spark.conf.get("spark.checkpoint.dir")
-    assert storage.scratch_path(spark, "x").startswith(configured)
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    used = storage.shared_dir(spark)
+    assert used == configured if configured else used == spark.sparkContext.getCheckpointDir()
+    assert storage.scratch_path(spark, "x").startswith(used)
 
 
 def test_metrics(spark):
