@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postweave.operators.joins import HOT_ROWS, salted_join
-from postweave.storage import materialize
-
-MAX_ROUNDS = 100
+from postweave.storage import discard, materialize
 
 
 def dangling_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -57,21 +55,25 @@ def connected_components(vertices: DataFrame, edges: DataFrame,
 
 
 def component_stars(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(id, component)`` for all endpoints but the smallest of each component."""
+    """``(id, component)`` for all endpoints but the smallest of each component.
+
+    Each round's table is deleted when its successor is complete.
+    """
     links = materialize(_downward(edges.select(
         F.col("src").alias("high"), F.col("dst").alias("low"))), "links")
     before = _fingerprint(links)
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Among no more than hot_rows links, no vertex can have more.
         salted = before[0] > hot_rows
-        links = materialize(
+        renewed = materialize(
             _small_star(_large_star(links, salted, hot_rows), salted, hot_rows), "links")
+        discard(links)
+        links = renewed
         # Equal sets of links have equal fingerprints; a fixed point is a set of stars.
         now = _fingerprint(links)
         if now == before:
             return links.select(F.col("high").alias("id"), F.col("low").alias("component"))
         before = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _fingerprint(links: DataFrame) -> tuple:
@@ -88,19 +90,19 @@ def _large_star(links: DataFrame, salted: bool, hot_rows: int) -> DataFrame:
     """Connect the larger neighbours of every vertex to its smallest neighbour or itself."""
     upward = links.select(F.col("low").alias("at"), F.col("high").alias("to"))
     both = upward.unionByName(links.select(F.col("high").alias("at"), F.col("low").alias("to")))
-    star = both.groupBy("at").agg(F.min("to").alias("to"), F.count("*").alias("degree"))
+    star = both.groupBy("at").agg(F.min("to").alias("to"), F.count("*").alias("rows"))
     least = star.select("at", F.least("at", "to").alias("least"))
-    hot = star.filter(F.col("degree") > hot_rows) if salted else None
-    joined = salted_join(upward, least, "at", "to", hot) if salted else upward.join(least, "at")
+    hot = star.filter(F.col("rows") > hot_rows) if salted else None
+    joined = salted_join(upward, least, "at", "to", hot, hot_rows=hot_rows) if salted else upward.join(least, "at")
     return joined.select(F.col("to").alias("high"), F.col("least").alias("low")).distinct()
 
 
 def _small_star(links: DataFrame, salted: bool, hot_rows: int) -> DataFrame:
     """Connect every vertex and its smaller neighbours to the smallest of these."""
-    star = links.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("degree"))
+    star = links.groupBy("high").agg(F.min("low").alias("least"), F.count("*").alias("rows"))
     least = star.select("high", "least")
-    hot = star.filter(F.col("degree") > hot_rows) if salted else None
-    joined = salted_join(links, least, "high", "low", hot) if salted else links.join(least, "high")
+    hot = star.filter(F.col("rows") > hot_rows) if salted else None
+    joined = salted_join(links, least, "high", "low", hot, hot_rows=hot_rows) if salted else links.join(least, "high")
     return _downward(joined.select(F.col("low").alias("high"), F.col("least").alias("low")).unionByName(
         least.select("high", F.col("least").alias("low"))))
 

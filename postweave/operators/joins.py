@@ -4,33 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Keys with more rows than this are spread over SALTS tasks. Of n rows at most
-# n / HOT_ROWS keys are that frequent.
+# A task should not get more rows of one key than this. Of n rows at most n / HOT_ROWS
+# keys are that frequent, so a list of them can be held by every task.
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows; counted map-side first."""
-    return rows.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
+    """``(key, rows)`` of the keys with more than ``hot_rows`` rows; counted map-side first."""
+    return rows.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_rows)
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str,
                 hot: DataFrame | None = None, how: str = "inner",
-                hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``rows`` with ``lookup``, which has one row per ``key``.
 
-    Rows of frequent keys are spread by ``spread`` over ``salts`` tasks and their
-    single lookup row is repeated for each; all other keys join as usual. The frequent
-    keys are counted unless ``hot`` names them, so ``rows`` should be a stored table.
+    A key with many rows is spread by ``spread`` over as many tasks as its count asks for,
+    and its single lookup row is repeated for each; all other keys join as usual. ``hot``
+    lists these keys as ``(key, rows)``; without it they are counted, so ``rows`` should
+    then be a stored table.
     """
     if hot is None:
         hot = hot_keys(rows, key, hot_rows)
-    hot = hot.select(key, F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    ours = rows.join(hot, key, "left").withColumn("salt", F.coalesce(salt, F.lit(0))).drop("hot")
-    theirs = lookup.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
+    salts = F.ceil(F.col("rows") / F.lit(hot_rows)).cast("int")
+    hot = F.broadcast(hot.select(key, salts.alias("salts")))
+    count = F.coalesce("salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(spread), count).cast("int")
+    ours = rows.join(hot, key, "left").withColumn("salt", salt).drop("salts")
+    theirs = lookup.join(hot, key, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("salts")
     return ours.join(theirs, [key, "salt"], how).drop("salt")
 
 

@@ -7,22 +7,23 @@ reads prune columns) and gives the optimizer exact sizes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables and stream checkpoints."""
-    context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="postweave-"))
-    return context.getCheckpointDir().rstrip("/")
+    """The shared folder for intermediate tables and stream checkpoints.
+
+    It is the one named in ``spark.checkpoint.dir``, or else a folder in the warehouse,
+    which driver and executors share as well.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None:
+        configured = spark.sparkContext.getCheckpointDir()
+    if configured is None:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/postweave-scratch"
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -36,15 +37,31 @@ def _session_dir(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; frames that read them are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _session_dir(spark))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table in the shared folder and read it back."""
+    """Write ``df`` to a fresh table in the shared folder and read it back.
+
+    The frame that is returned can be given to ``discard`` once nothing reads it any more.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote."""
+    for df in stored:
+        delete(df.sparkSession, df.scratch)
 
 
 def is_committed(spark: SparkSession, path: str) -> bool:

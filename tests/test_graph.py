@@ -88,7 +88,7 @@ def test_topic_summary(spark):
 def test_salted_join_is_a_join(spark, how, hot_rows):
     rows = spark.createDataFrame([(i % 4 if i % 2 else 7, i) for i in range(40)], "k bigint, v bigint")
     lookup = spark.createDataFrame([(1, "a"), (7, "b"), (8, "c")], "k bigint, name string")
-    salted = joins.salted_join(rows, lookup, "k", "v", how=how, hot_rows=hot_rows, salts=5)
+    salted = joins.salted_join(rows, lookup, "k", "v", how=how, hot_rows=hot_rows)
     plain = rows.join(lookup, "k", how)
     key = lambda r: (r["v"], r["k"])
     assert sorted(salted.select(plain.columns).collect(), key=key) == sorted(plain.collect(), key=key)
