@@ -106,7 +106,7 @@ def kept_text(text: Column, bitmap: Column) -> Column:
     lines = split_lines(text)
     bits = F.sequence(F.lit(0), F.lit(WORD - 1))
     dropped = F.flatten(F.transform(bitmap, lambda x: F.transform(
-        F.filter(bits, lambda b: F.get_bit(x["bits"], b) == 1), lambda b: x["word"] * WORD + b)))
+        F.filter(bits, lambda b: F.getbit(x["bits"], b) == 1), lambda b: x["word"] * WORD + b)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
     return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
