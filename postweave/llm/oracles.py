@@ -17,6 +17,34 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
 FROM keyed LEFT JOIN frequent AS f ON keyed.key = f.key GROUP BY doc_id
 """
 
+_WORDS = (f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+          "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')")
+
+_OP9 = f"""
+WITH doc_words AS (SELECT DISTINCT doc_id, {_WORDS} AS words FROM documents),
+item_words AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+cut AS (
+    SELECT DISTINCT item_id, words[i:i + 9] AS w
+    FROM item_words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS u(i) WHERE len(words) > 0),
+lengths AS (SELECT DISTINCT len(w) AS size FROM cut),
+places AS (
+    SELECT doc_id, i, size, words[i:i + size - 1] AS w
+    FROM doc_words, lengths, unnest(range(1, len(words) - size + 2)) AS u(i)),
+hits AS (SELECT p.doc_id, p.i, p.size, c.item_id FROM places AS p JOIN cut AS c ON p.w = c.w),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT j) AS n_hit
+    FROM (SELECT DISTINCT doc_id, i, size FROM hits), unnest(range(i, i + size)) AS u(j)
+    GROUP BY doc_id),
+hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words AS d LEFT JOIN hit_words AS h ON d.doc_id = h.doc_id
+LEFT JOIN hit_items AS i ON d.doc_id = i.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": _OP4,
+    "op9_decontamination": _OP9,
 }

@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postweave.llm import language, line_dedup, ngram_join
+from postweave.llm import decontamination, language, line_dedup, ngram_join, piece_encoding
 from postweave.sources.derive import table
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -23,6 +30,24 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = vocabulary("piece_bpe_32k.model")
+    encoded = piece_encoding.encode(docs, path).drop("text")
+    return piece_encoding.decode(encoded, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees")
+
+
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.decontaminate(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 
@@ -30,5 +55,7 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op7_language_id": op7_language_id,
+    "op8_piece_encoding": op8_piece_encoding,
+    "op9_decontamination": op9_decontamination,
     "op10_ngram_join": op10_ngram_join,
 }
