@@ -44,7 +44,75 @@ FROM doc_words AS d LEFT JOIN hit_words AS h ON d.doc_id = h.doc_id
 LEFT JOIN hit_items AS i ON d.doc_id = i.doc_id
 """
 
+_SPACE_RUN = "'[\\x20\\x09-\\x0D]+'"
+
+_OP1 = f"""
+WITH docs AS (
+    SELECT DISTINCT doc_id, source, coalesce(text, '') AS text,
+        list_filter(string_split_regex(coalesce(text, ''), {_SPACE_RUN}), lambda w: w <> '') AS words
+    FROM documents),
+lines AS (
+    SELECT doc_id, source, i, string_split(text, chr(10))[i] AS line
+    FROM docs, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+worded AS (
+    SELECT *, translate(trim(line, {_SPACES}), '{_UPPER}123456789', '{_LOWER}000000000') AS plain
+    FROM lines WHERE trim(line, {_SPACES}) <> ''),
+copies AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id),
+frequent AS (
+    SELECT source, plain FROM worded GROUP BY source, plain HAVING count(DISTINCT doc_id) > 20),
+removed AS (
+    SELECT doc_id, sum(len(string_split_regex(w.plain, {_SPACE_RUN}))) AS n_removed_words
+    FROM worded AS w JOIN frequent AS f ON w.source IS NOT DISTINCT FROM f.source AND w.plain = f.plain
+    GROUP BY doc_id),
+windows AS (
+    SELECT doc_id, i, words[i:i + 2] AS w FROM docs, unnest(range(1, len(words) - 1)) AS u(i)),
+twice AS (
+    SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+repeats AS (
+    SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM twice, unnest(range(i, i + 3)) AS u(j)
+    GROUP BY doc_id),
+counted AS (
+    SELECT d.doc_id, len(words) AS n_words,
+        length(regexp_replace(text, {_SPACE_RUN}, '', 'g')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+    FROM docs AS d LEFT JOIN copies AS c ON d.doc_id = c.doc_id
+    LEFT JOIN repeats AS r ON d.doc_id = r.doc_id LEFT JOIN removed AS g ON d.doc_id = g.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+        AND NOT 100 * (n_words - n_removed_words) < 50 * n_words AS kept
+FROM counted
+"""
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+
+_OP6 = f"""
+WITH hosts AS (
+    SELECT page_id, url, nullif({_HOST}, '') AS host, string_split({_HOST}, '.') AS labels FROM pages),
+keyed AS (
+    SELECT page_id, url, host, list_transform(
+        range(1, greatest(len(labels) - 1, 1) + 1),
+        lambda i: array_to_string(labels[i:len(labels)], '.')) AS keys,
+        epoch_ms((1704067200 + (page_id * 7919) % 527040 * 60) * 1000) AS fetched,
+        epoch_ms((1704067200 + (page_id * 104729) % 527040 * 60) * 1000) AS entered
+    FROM hosts),
+entries AS (
+    SELECT CASE WHEN md5(url)[2:2] < '8' OR len(keys) < 2 THEN keys[1] ELSE keys[len(keys) - 1] END AS key,
+        entered, max(md5(url)[1:1] < '8') AS listed
+    FROM keyed WHERE host IS NOT NULL GROUP BY 1, 2),
+asked AS (
+    SELECT page_id, fetched, unnest(keys) AS key FROM keyed WHERE host IS NOT NULL),
+held AS (
+    SELECT a.page_id, count(*) FILTER (WHERE e.listed) AS n_listed
+    FROM asked AS a ASOF JOIN entries AS e ON a.key = e.key AND a.fetched >= e.entered GROUP BY a.page_id)
+SELECT k.page_id, host, fetched, coalesce(n_listed, 0) AS n_listed, coalesce(n_listed, 0) > 0 AS blocked
+FROM keyed AS k LEFT JOIN held AS h ON k.page_id = h.page_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_line_quality": _OP1,
     "op4_line_dedup": _OP4,
+    "op6_url_lists": _OP6,
     "op9_decontamination": _OP9,
 }

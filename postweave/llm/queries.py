@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postweave.llm import decontamination, language, line_dedup, ngram_join, piece_encoding
+from postweave.llm import (
+    decontamination, language, line_dedup, line_quality, ngram_join, packing, personal_data,
+    piece_encoding, sharding, url_lists)
 from postweave.sources.derive import table
 
 
@@ -17,12 +19,68 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return line_quality.judge(table(spark, folder, "documents"))
+
+
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = personal_data.train(personal_data.weak_labels(docs))
+    return personal_data.find_spans(docs, field).select(
+        "doc_id", *(f"n_{kind}" for kind in personal_data.KINDS),
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+# The shards that documents are placed on.
+SHARDS = [f"shard-{i:03d}" for i in range(256)]
+
+
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    return sharding.place(docs, SHARDS)
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+    return packed.select(
+        "pack_group", "pack_row", "n_tokens", "doc_ids", "parts", "cu_seqlens",
+        F.sha2("input_ids", 256).alias("ids_sha256"),
+        F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
+def _dated(step: int) -> Column:
+    """A time of the year 2024 for every page."""
+    return F.timestamp_seconds(F.lit(FIRST_SECOND) + (F.col("page_id") * step) % MINUTES * 60)
+
+
+# The captures and list entries derived from the pages fall into one year.
+FIRST_SECOND, MINUTES = 1_704_067_200, 366 * 24 * 60
+
+
+def url_captures(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", "url", _dated(7919).alias("fetched"))
+
+
+def url_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """One dated entry per page: its host, or the domain above it, is listed or unlisted."""
+    keys = url_lists.keys_of(url_lists.host_of(F.col("url")))
+    digit = F.substring(F.md5("url"), 1, 1)
+    chosen = F.when(F.substring(F.md5("url"), 2, 1) < "8", F.get(keys, F.lit(0))).otherwise(
+        F.coalesce(F.get(keys, F.size(keys) - 2), F.get(keys, F.lit(0))))
+    return table(spark, folder, "pages").select(
+        chosen.alias("key"), (digit < "8").alias("listed"), _dated(104_729).alias("at"))
+
+
+def op6_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return url_lists.evaluate(url_captures(spark, folder), url_entries(spark, folder))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     profiles = language.learn_profiles(language.learning_rows(docs))
@@ -53,7 +111,12 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_quality": op1_line_quality,
+    "op2_personal_data": op2_personal_data,
+    "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op5_packing": op5_packing,
+    "op6_url_lists": op6_url_lists,
     "op7_language_id": op7_language_id,
     "op8_piece_encoding": op8_piece_encoding,
     "op9_decontamination": op9_decontamination,
