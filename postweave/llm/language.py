@@ -205,7 +205,11 @@ def learn_profiles(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (1: every n-gram in its place, 0: none known)."""
+    """Add ``lang_pred`` and ``score`` (1: every n-gram in its place, 0: none known).
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 

@@ -115,8 +115,9 @@ def dedup_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS,
                 keep_first: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``docs`` with the kept lines as ``text``, and ``n_lines`` and ``n_dropped`` added.
 
-    A null text becomes empty.
+    A null text becomes empty. Columns named like the added ones are replaced.
     """
+    docs = docs.drop("n_lines", "n_dropped", "_dropped", "_bitmap")
     bitmaps = drop_bitmaps(docs, least_documents, keep_first, hot_rows).withColumnsRenamed(
         {"n_dropped": "_dropped", "bitmap": "_bitmap"})
     text = F.coalesce("text", F.lit(""))

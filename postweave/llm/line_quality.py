@@ -80,7 +80,8 @@ def count_metrics(column: pa.Array) -> np.ndarray:
 
 
 def text_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the numbers of ``METRICS`` and ``base_failed`` to every row."""
+    """Add the numbers of ``METRICS`` and ``base_failed`` to every row, replacing such columns."""
+    docs = docs.drop(*METRICS, "base_failed")
     schema = docs.select("*", *(F.lit(0).cast("bigint").alias(m) for m in METRICS)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +149,7 @@ def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCU
 def clean_lines(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS,
                 least_kept: int = LEAST_KEPT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The kept documents, with the frequent lines of their host removed from ``text``."""
+    docs = docs.drop("_frequent")
     lines = materialize(line_rows(docs, host), "quality-lines")
     frequent = frequent_lines(lines, most_documents).select("line")
     hits = materialize(lines.select("doc_id", "line").distinct().join(frequent, "line", "left_semi")

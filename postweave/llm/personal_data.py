@@ -336,8 +336,12 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_spans(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """Add ``base_spans`` and ``spans`` as ``kind:start:end`` lists, and a count per base kind."""
+    """Add ``base_spans`` and ``spans`` as ``kind:start:end`` lists, and a count per base kind.
+
+    Columns of these names are replaced.
+    """
     counts = [f"n_{kind}" for kind in KINDS]
+    docs = docs.drop("base_spans", "spans", *counts)
     schema = docs.select("*", F.lit("").alias("base_spans"), F.lit("").alias("spans"),
                          *(F.lit(0).cast("bigint").alias(c) for c in counts)).schema
     shared = docs.sparkSession.sparkContext.broadcast(field)

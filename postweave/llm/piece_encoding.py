@@ -212,7 +212,11 @@ def text_groups(column: pa.Array, most: int = GROUP_CHARACTERS) -> Iterator[list
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", by_agenda: bool = True) -> DataFrame:
-    """Add ``ids`` (little-endian unsigned 32-bit numbers with begin and end) and ``agrees``."""
+    """Add ``ids`` (little-endian unsigned 32-bit numbers with begin and end) and ``agrees``.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("ids", "agrees")
     schema = docs.select("*", F.lit(b"").alias("ids"), F.lit(True).alias("agrees")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +235,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", by_agenda: bool = Tru
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded``, the text of the column ``ids``; null ids give a null text."""
+    encoded = encoded.drop("decoded")
     schema = encoded.select("*", F.lit("").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
