@@ -37,8 +37,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def not_zero(a: Column) -> Column:
-    """True if a vector has a direction."""
-    return F.exists(a, lambda x: x != 0)
+    """True if a vector has a direction: finite components that are not all zero.
+
+    NULL components make it false.
+    """
+    finite = F.forall(a, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return F.coalesce(F.exists(a, lambda x: x != 0) & finite, F.lit(False))
 
 
 def mean_vector(vectors: Column) -> Column:

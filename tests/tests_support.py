@@ -54,3 +54,11 @@ def clustered(seed, size, buckets, copies=0.0, dims=6):
         rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(buckets))))
     random.Random(seed).shuffle(rows)
     return rows
+
+
+def near_copies(seed, size, jitter, buckets=1, dims=6):
+    """Posts that differ from one of four directions by very little."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(4, dims))
+    return [(i, [float(np.float32(x)) for x in centres[i % 4] + rng.normal(scale=jitter, size=dims)],
+             int(rng.integers(buckets))) for i in range(size)]
