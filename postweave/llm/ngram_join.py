@@ -6,9 +6,9 @@ group:
 
 1. *Classes.* Documents with equal sets are one class; its smallest id stands for all.
 2. *Prefixes.* Of ``n`` shingles in hash order, two linked documents share at least
-   ``t(n) = 1 + n // 10`` among the first ``n - ceil(s n) + t(n)`` of either. Only these
+   ``t(n) = 1 + n // 16`` among the first ``n - ceil(s n) + t(n)`` of either. Only these
    are put into inverted lists, and lists of one document are dropped.
-3. *Short lists.* A document with fewer than ``t`` of its prefix shingles in longer lists has
+3. *Short lists.* Of each class one document goes on. A document with fewer than ``t`` of its prefix shingles in longer lists has
    no partner. Any other sets its ``t - 1`` longest lists aside, as a linked document must
    also be found in one of the others.
 4. *Groups.* Every short list names its smallest document; all documents with a list of the
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from postweave.llm.batches import (
     IS_SPACE, LOWER, binary_column, list_column, mixed, range_hashes, runs, text_chunks,
     window_hashes)
-from postweave.llm.columns import BROADCAST_ROWS, broadcast_if_small
+from postweave.llm.columns import broadcast_if_small
 from postweave.operators.graph import component_stars
 from postweave.operators.joins import HOT_ROWS, salted_join
 from postweave.storage import materialize
@@ -45,6 +45,11 @@ from postweave.storage import materialize
 WIDTH = 5
 # Similarity in percent.
 SIMILARITY = 80
+# One more shingle for so many is expected to be shared within the prefixes.
+SHARED_OF = 16
+# Lists are named by so many bits of a shingle. Two shingles that fall together only make the
+# lists longer: the search compares whole shingles.
+LIST_BITS = 48
 # Shingles of one block of a group: 8 bytes each, held several times by a task.
 BLOCK_SHINGLES = 500_000
 # DivideSkip: the more a probe costs against a merged entry, the fewer lists are set aside.
@@ -56,7 +61,7 @@ _MEMBERS = "doc_id bigint, shingles binary"
 
 def shared_at_least(n: int) -> int:
     """Shingles that two linked documents of ``n`` and more share within their prefixes."""
-    return 1 + n // 10
+    return 1 + n // SHARED_OF
 
 
 def least_overlap(n: int, similarity: int = SIMILARITY) -> int:
@@ -99,8 +104,8 @@ def set_table(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY)
                 n = len(shingles)
                 sizes.append(n)
                 classes.append(_class_of(shingles))
-                prefixes.append(
-                    shingles[:n - least_overlap(n, similarity) + shared_at_least(n)].copy())
+                prefix = shingles[:n - least_overlap(n, similarity) + shared_at_least(n)]
+                prefixes.append(prefix >> np.uint64(64 - LIST_BITS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), binary_column(classes),
                  list_column(prefixes)], names=["doc_id", "n_shingles", "class", "prefix"])
@@ -130,9 +135,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: int = SIM
     sets = materialize(set_table(docs, width, similarity), "shingle-sets")
     named = sets.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
-    links = similar_pairs(docs, sets, classes.select(F.col("id").alias("doc_id")), width,
-                          similarity, block_shingles, hot_rows)
+        F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"),
+        F.count("*").alias("rows")), "classes")
+    chosen = classes.select(F.col("id").alias("doc_id"), "n_shingles")
+    links = similar_pairs(docs, sets, chosen, width, similarity, block_shingles, hot_rows)
     stars = component_stars(links, hot_rows)
     labels = classes.join(stars, "id", "left").select(
         "class", F.coalesce("component", "id").alias("label"))
@@ -146,7 +152,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: int = SIM
 def similar_pairs(docs: DataFrame, sets: DataFrame, chosen: DataFrame, width: int = WIDTH,
                   similarity: int = SIMILARITY, block_shingles: int = BLOCK_SHINGLES,
                   hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(src, dst)``: links that connect all linked documents among the ``chosen`` ids."""
+    """``(src, dst)``: links that connect all linked documents among ``chosen(doc_id, n_shingles)``."""
     groups = materialize(_groups(sets, chosen, similarity, hot_rows), "groups")
     ids = broadcast_if_small(materialize(groups.select("doc_id").distinct(), "members"))
     members = member_table(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])
@@ -168,23 +174,19 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, chosen: DataFrame, width: in
 
 def _groups(sets: DataFrame, chosen: DataFrame, similarity: int, hot_rows: int) -> DataFrame:
     """``(name, doc_id, n_shingles)``: the documents that share short lists of a name."""
-    postings = (
-        sets.join(chosen, "doc_id", "left_semi")
-        .select("doc_id", "n_shingles", F.explode("prefix").alias("shingle"))
-    )
+    postings = sets.filter(F.col("doc_id").isNotNull()).select(
+        "doc_id", F.explode("prefix").alias("shingle"))
+    # Copies are counted as well; how long a list is matters for the order only.
     lists = materialize(postings.groupBy("shingle").agg(F.count("*").alias("rows"))
                         .filter(F.col("rows") > 1), "lists")
     hot = lists.filter(F.col("rows") > hot_rows)
-    if lists.count() <= BROADCAST_ROWS:
-        listed = postings.join(F.broadcast(lists), "shingle")
-    else:
-        listed = salted_join(postings, lists, "shingle", "doc_id", hot, hot_rows=hot_rows)
+    listed = salted_join(postings, lists, "shingle", "doc_id", hot, hot_rows=hot_rows)
     # One document's lists, longest last; repeated rows of a document fall together.
     n = F.col("n_shingles")
     partner = F.ceil(n * similarity / 100)
-    need = F.lit(1) + F.floor(partner / 10).cast("int")
+    need = F.lit(1) + F.floor(partner / SHARED_OF).cast("int")
     short = (
-        listed.groupBy("doc_id", "n_shingles")
+        listed.join(chosen, "doc_id").groupBy("doc_id", "n_shingles")
         .agg(F.sort_array(F.collect_set(F.struct("rows", "shingle"))).alias("lists"))
         .withColumn("need", need).filter(F.size("lists") >= F.col("need"))
         .select("doc_id", "n_shingles",
@@ -194,12 +196,9 @@ def _groups(sets: DataFrame, chosen: DataFrame, similarity: int, hot_rows: int)
     short = materialize(short, "short-lists")
     names = materialize(short.groupBy("shingle").agg(
         F.min("doc_id").alias("name"), F.count("*").alias("rows")).filter(F.col("rows") > 1), "names")
-    if names.count() <= BROADCAST_ROWS:
-        joined = short.join(F.broadcast(names.drop("rows")), "shingle")
-    else:
-        joined = salted_join(short, names.drop("rows"), "shingle", "doc_id",
-                             names.filter(F.col("rows") > hot_rows).select("shingle", "rows"),
-                             hot_rows=hot_rows)
+    joined = salted_join(short, names.drop("rows"), "shingle", "doc_id",
+                         names.filter(F.col("rows") > hot_rows).select("shingle", "rows"),
+                         hot_rows=hot_rows)
     return joined.select("name", "doc_id", "n_shingles").distinct()
 
 
