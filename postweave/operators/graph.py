@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postweave.operators.joins import HOT_ROWS, salted_join
+from postweave.operators.joins import HOT_ROWS, hot_keys, salted_join
 from postweave.storage import discard, materialize
 
 
@@ -44,11 +44,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame,
     are ignored.
     """
     ids = vertices.select("id").distinct()
-    known = (
-        edges.select("src", "dst")
-        .join(ids.select(F.col("id").alias("src")), "src", "left_semi")
-        .join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    )
+    # Repetitions go first: what is left of a popular vertex is as many rows as it has neighbours.
+    known = edges.select("src", "dst").distinct()
+    for end, other in (("src", "dst"), ("dst", "src")):
+        known = salted_join(known, ids.select(F.col("id").alias(end)), end, other,
+                            hot_keys(edges, end, hot_rows), hot_rows=hot_rows)
     stars = component_stars(known, hot_rows)
     return ids.join(stars, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component"))
@@ -123,4 +123,5 @@ def topic_summary(components: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def vertex_labels(vertices: DataFrame, index: DataFrame) -> DataFrame:
     """The label index of every vertex; NULL for labels outside the index."""
-    return vertices.join(index, "label", "left").select("id", "label", "label_idx")
+    joined = salted_join(vertices.select("id", "label"), index, "label", "id", how="left")
+    return joined.select("id", "label", "label_idx")

@@ -17,7 +17,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postweave.functions.vectors import RANK_DECIMALS, not_zero
-from postweave.operators.joins import HOT_ROWS, salted_join
+from postweave.operators.joins import HOT_ROWS, hot_keys, salted_join
+from postweave.operators.rows import row_index
 
 FEATURES = ("sentence_distance", "word_distance", "hashtag_distance")
 
@@ -31,19 +32,21 @@ TOPIC_TREES = 10
 KMEANS_SEED = 1
 COMPONENTS = 3
 
-# Centroids held by every task: 10,000 x 768 doubles are 60 MiB.
-MAX_CENTROIDS = 10_000
+# Centroids that are compared at a time: 1,000 x 768 doubles are 6 MiB.
+BLOCK_CENTROIDS = 1000
 
 
 def edge_labels(edges: DataFrame, vertices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``label``: 1 if both endpoints have the same label (or both none), else 0.
 
-    Edges with an unknown endpoint are dropped. Only ids and labels are joined, and
-    popular endpoints are spread over several tasks.
+    Edges with an unknown endpoint are dropped. Popular endpoints on either side are spread over
+    several tasks; they are counted in ``edges``, which should be a stored table.
     """
     ours = vertices.select(F.col("id").alias("src"), F.col("label").alias("src_label"))
     theirs = vertices.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
-    joined = salted_join(edges.join(ours, "src"), theirs, "dst", "src", hot_rows=hot_rows)
+    sources, targets = hot_keys(edges, "src", hot_rows), hot_keys(edges, "dst", hot_rows)
+    joined = salted_join(edges, ours, "src", "dst", sources, hot_rows=hot_rows)
+    joined = salted_join(joined, theirs, "dst", "src", targets, hot_rows=hot_rows)
     same = F.col("src_label").eqNullSafe(F.col("dst_label")).cast("int")
     return joined.withColumn("label", same).drop("src_label", "dst_label").select(
         *edges.columns, "label")
@@ -147,8 +150,10 @@ def label_centroids(posts: DataFrame) -> DataFrame:
     means = with_vector(posts).groupBy("label").agg(
         vector_to_array(Summarizer.mean(F.col("features"))).alias("centroid"))
     distance = euclidean(F.col("sentence_embeddings"), F.col("centroid"))
+    narrow = posts.select("id", "label", "sentence_embeddings")
     return (
-        posts.join(means, "label").groupBy("label").agg(F.avg(distance).alias("threshold"))
+        salted_join(narrow, means, "label", "id").groupBy("label")
+        .agg(F.avg(distance).alias("threshold"))
         .join(means, "label").select("label", "centroid", "threshold")
     )
 
@@ -159,29 +164,45 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
-def assign_centroid(posts: DataFrame, centroids: DataFrame) -> DataFrame:
+def assign_centroid(posts: DataFrame, centroids: DataFrame,
+                    block_centroids: int = BLOCK_CENTROIDS) -> DataFrame:
     """``(id, cluster)``: position of the first centroid, by label, within its threshold, else -1.
 
-    There is one centroid per label. They are held by every task, so their number is checked.
+    There is one centroid per label, and any number of labels: posts are compared with blocks of
+    centroids, and the smallest position of all blocks counts.
     """
-    rows = centroids.orderBy("label").limit(MAX_CENTROIDS + 1).collect()
-    if not rows or len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"need between 1 and {MAX_CENTROIDS} centroids")
-    centres = np.array([row["centroid"] for row in rows], dtype=np.float64)
-    reach = np.round(np.array([row["threshold"] for row in rows]), RANK_DECIMALS)
-
-    @F.arrow_udf("int")
-    def cluster(vectors: pa.Array) -> pa.Array:
-        points = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        points = points.reshape(len(vectors), centres.shape[1])
-        found = np.full(len(points), -1, np.int32)
-        for at in range(len(centres) - 1, -1, -1):
-            gap = points - centres[at]
-            distance = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), RANK_DECIMALS)
-            found[distance < reach[at]] = at
-        return pa.array(found)
-
-    return posts.select("id", cluster("sentence_embeddings").alias("cluster"))
+    placed = row_index(centroids.filter(F.col("label").isNotNull()), "label", "position").withColumn(
+        "block", F.floor((F.col("position") - 1) / block_centroids).cast("int"))
+    blocks = (placed.agg(F.max("block")).first()[0] or 0) + 1
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    rows = posts.select("id", "sentence_embeddings", part.alias("part"),
+                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    reach = placed.select(
+        "position", "centroid", "threshold", "block",
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def nearest(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = np.full(len(ours), np.iinfo(np.int64).max)
+        if len(ours) and len(theirs):
+            points, centres = _rows_of(ours["sentence_embeddings"]), _rows_of(theirs["centroid"])
+            limit = np.round(theirs["threshold"].to_numpy(), RANK_DECIMALS)
+            for place, centre, within in zip(theirs["position"].to_numpy(), centres, limit):
+                gap = points - centre
+                distance = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), RANK_DECIMALS)
+                found[distance < within] = np.minimum(found[distance < within], place - 1)
+        return pa.table({"id": ours["id"], "cluster": pa.array(found)})
+
+    found = rows.groupBy("block", "part").cogroup(reach.groupBy("block", "part")).applyInArrow(
+        nearest, "id bigint, cluster bigint")
+    first = F.min("cluster")
+    return found.groupBy("id").agg(
+        F.when(first == F.lit(2**63 - 1), -1).otherwise(first).cast("int").alias("cluster"))
+
+
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 
 def pca(posts: DataFrame, extra: DataFrame | None = None, k: int = COMPONENTS) -> DataFrame:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Ranges of a running total: the number of tasks that share its windows.
-RANGES = 256
+from postweave.storage import materialize
 
 
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -42,17 +38,13 @@ def auroc(scored: DataFrame, score: Column, label: str = "label") -> DataFrame:
 def running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``key``, without a one-task window.
 
-    Rows fall into ranges of their key; a window runs inside each range and the sums
-    of the ranges before it, one row each, are added.
+    Rows are range-partitioned by their key and stored; a window runs inside each partition, and the sums
+    of the partitions before it, one row each, are added. ``key`` is unique.
     """
-    cuts = sorted(set(df.stat.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 0.001)))
-    if cuts:
-        ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol="range")
-        ranged = ranges.transform(df)
-    else:
-        ranged = df.withColumn("range", F.lit(0.0))
+    ranged = materialize(df.repartitionByRange(key).sortWithinPartitions(key).withColumn(
+        "range", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("range").agg(F.sum(value).alias("in_range"))
-    # At most RANGES rows in this window.
+    # One row per partition of the plan.
     ahead = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postweave.operators.joins import salted_join
 from postweave.storage import materialize
 
 # Sampling hashes are read as numbers below this limit.
@@ -56,8 +57,10 @@ def split_edges(edges: DataFrame, tenths: int = 8) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, start: int, end: int, key: str = "id") -> DataFrame:
-    """Rows ``start`` to ``end`` in the order of ``key``."""
-    return df.orderBy(key).offset(start).limit(end - start)
+    """Rows ``start`` to ``end`` in the order of ``key``, numbered without one task for all before them."""
+    place = F.col("_place")
+    numbered = row_index(df, key, "_place")
+    return numbered.filter((place > start) & (place <= end)).drop("_place")
 
 
 def row_index(df: DataFrame, key: str = "id", name: str = "index") -> DataFrame:
@@ -114,7 +117,7 @@ def label_index(posts: DataFrame, classes: list[str] | None = None) -> DataFrame
 
 def with_label_index(posts: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """Add the label's index to every post."""
-    return posts.join(label_index(posts, classes), "label")
+    return salted_join(posts, label_index(posts, classes), "label", "id")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -136,11 +136,6 @@ def hash_sample(spark, folder):
     return rows.hash_sample(_posts(spark, folder), 0.05).select("id", "label")
 
 
-@query
-def bernoulli_sample(spark, folder):
-    return rows.bernoulli_sample(_posts(spark, folder), 0.05).select("id", "label")
-
-
 @query
 def sample_n(spark, folder):
     return rows.sample_n(_posts(spark, folder), 100).select("id", "label")
@@ -213,8 +208,11 @@ def tokens(spark, folder):
 @query
 def language_id(spark, folder):
     posts = _posts(spark, folder)
-    model = learn.fit_language_model(posts)
-    return learn.detect_language(model, posts).select("id", "lang", "language")
+    model = learn.fit_language_model(posts.filter(~_held_out()))
+    found = materialize(learn.detect_language(model, posts.filter(_held_out())).select(
+        "id", "lang", "language"), "languages")
+    return _with_quality(found, _accuracy(found, "lang", "language"), "accurate", 0.9).select(
+        "id", "lang", "accurate")
 
 
 @query
@@ -380,6 +378,21 @@ def nearest_neighbors(spark, folder):
     return _rounded(_near(_vectors(spark, folder)))
 
 
+# Rows of a block in the query that cuts buckets into many.
+SMALL_BLOCK = 64
+
+
+@query
+def nearest_neighbors_blocks(spark, folder):
+    """Every post and a copy that is off by very little, with buckets of many blocks."""
+    posts = _vectors(spark, folder).select("id", "sentence_embeddings", "time_bucket")
+    vector = F.transform("sentence_embeddings", lambda x, i: (
+        x + F.when(i == F.col("id") % 64, 1e-4).otherwise(0.0)).cast("float"))
+    near = posts.select((F.col("id") + 1_000_000).alias("id"), vector.alias("sentence_embeddings"), "time_bucket")
+    found = neighbors.nearest_neighbors(posts.unionByName(near), N, "same_bucket", block_rows=SMALL_BLOCK)
+    return _rounded(neighbors.explode_neighbors(found))
+
+
 @query
 def nearest_neighbors_symmetric(spark, folder):
     return _rounded(_near(_vectors(spark, folder), mode="symmetric"))
@@ -397,8 +410,13 @@ def knn_all(spark, folder):
 
 @query
 def approx_neighbors(spark, folder):
-    found = neighbors.approximate_neighbors(_vectors(spark, folder), N)
-    return _rounded(neighbors.explode_neighbors(found))
+    posts = _vectors(spark, folder)
+    found = materialize(neighbors.explode_neighbors(neighbors.approximate_neighbors(posts, N, tables=16, band=2)), "approx")
+    exact = _near(posts, N, "all")
+    shared = exact.join(found.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    recall = shared.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")))
+    sizes = found.groupBy(F.col("src").alias("id")).agg((F.count("*") <= N).alias("within"))
+    return _with_quality(sizes, recall, "recalled", 0.9)
 
 
 @query
@@ -555,36 +573,84 @@ def vertex_labels(spark, folder):
 
 # Learning
 
-def _scored(spark, folder):
-    posts = _vectors(spark, folder)
-    edges = materialize(_edges(spark, folder), "edges")
-    labelled = learn.edge_labels(rows.split_edges(edges), rows.vertices(posts))
-    model = learn.fit_edge_classifier(labelled.filter("split = 'train'"))
-    return learn.score_edges(model, labelled.filter("split = 'test'"))
+def _learning_edges(spark, folder):
+    """Labelled edges among the posts with hashtags, which have all three distances."""
+    posts = rows.has_hashtags(_vectors(spark, folder))
+    edges = materialize(elements.proximity_edges(_stored(posts), posts), "edges")
+    return materialize(learn.edge_labels(rows.split_edges(edges), rows.vertices(posts)), "labelled")
+
+
+def _with_quality(df: DataFrame, quality: DataFrame, name: str, least: float) -> DataFrame:
+    """Add whether the single number of ``quality`` reaches ``least``."""
+    measured = quality.first()[0]
+    return df.withColumn(name, F.lit(measured is not None and measured >= least))
+
+
+def _accuracy(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    return df.agg(F.avg((F.col(truth) == F.col(guess)).cast("double")))
+
+
+def _held_out(key: str = "id") -> Column:
+    """A fifth of the posts that models are not trained on."""
+    return F.pmod(F.col(key) * 7, F.lit(5)) == 3
 
 
 @query
 def score_edges(spark, folder):
-    return _rounded(_scored(spark, folder), *learn.FEATURES).select(
-        "src", "dst", *learn.FEATURES, "label", "prediction")
+    labelled = _learning_edges(spark, folder)
+    model = learn.fit_edge_classifier(labelled.filter("split = 'train'"))
+    scored = materialize(learn.score_edges(
+        model, labelled.filter("split = 'test'"), keep_probability=True), "scored")
+    sides = scored.agg(F.avg(((F.col("probability") > 0.5) == (F.col("prediction") == 1)).cast("double")))
+    return _with_quality(_rounded(scored, *learn.FEATURES), sides, "consistent", 1.0).select(
+        "src", "dst", *learn.FEATURES, "label", "consistent")
 
 
 @query
 def cut_edges(spark, folder):
-    return graph.cut_edges(_scored(spark, folder)).select("src", "dst", "label", "prediction")
+    labelled = _learning_edges(spark, folder)
+    model = learn.fit_edge_classifier(labelled.filter("split = 'train'"))
+    scored = materialize(learn.score_edges(model, labelled), "scored")
+    kept = graph.cut_edges(scored).select("src", "dst", "label")
+    # Of the edges that stay, more are within a label than of all edges.
+    share, before = (x.agg(F.avg("label")).first()[0] or 0.0 for x in (kept, labelled))
+    none_lost = scored.count() == labelled.count()
+    return labelled.groupBy("label").agg(F.count("*").alias("edges")).withColumns(
+        {"all_scored": F.lit(none_lost), "purer": F.lit(share > before)})
 
 
 @query
 def classify_topics(spark, folder):
     posts = _vectors(spark, folder)
-    return learn.classify_topics(learn.fit_topic_classifier(posts), posts)
+    model = learn.fit_topic_classifier(posts.filter(~_held_out()))
+    found = materialize(learn.classify_topics(model, posts.filter(_held_out())), "classified")
+    # The labels of the stored vectors are not predictable, so only the form is checked.
+    labels = rows.label_counts(posts).count()
+    known = found.agg(F.avg(F.col("prediction").isin(list(range(labels))).cast("double")))
+    return _with_quality(found, known, "known", 1.0).select(
+        "id", "label", F.col("label_idx").cast("int").alias("label_idx"), "known")
 
 
 @query
 def kmeans_topics(spark, folder):
     posts = _vectors(spark, folder)
     labels = rows.label_counts(posts).count()
-    return learn.kmeans_topics(posts, labels).select("id", "label", "cluster")
+    found = materialize(learn.kmeans_topics(posts, labels).select(
+        "id", "label", "cluster", "sentence_embeddings"), "clusters")
+    used = F.lit(found.agg(F.max("cluster")).first()[0] < labels)
+    return _with_quality(found, _in_closest_cluster(found), "settled", 0.9).select(
+        "id", "label", "settled", used.alias("in_range"))
+
+
+def _in_closest_cluster(found: DataFrame) -> DataFrame:
+    """The share of posts whose cluster's mean direction is the closest of all; clusters are few."""
+    unit = F.transform("sentence_embeddings", lambda x: x / V.norm(F.col("sentence_embeddings")))
+    means = learn.with_vector(found.withColumn("sentence_embeddings", unit)).groupBy("cluster").agg(
+        learn.vector_to_array(learn.Summarizer.mean(F.col("features"))).alias("mean")).collect()
+    gaps = [F.struct(V.cosine_distance(F.col("sentence_embeddings"), F.array(*map(F.lit, m["mean"]))),
+                     F.lit(m["cluster"]).alias("cluster")) for m in means]
+    closest = F.array_min(F.array(*gaps))["cluster"]
+    return found.agg(F.avg((closest == F.col("cluster")).cast("double")))
 
 
 @query
@@ -595,8 +661,23 @@ def assign_centroid(spark, folder):
 
 @query
 def pca3(spark, folder):
-    axes = learn.pca(_vectors(spark, folder))
-    return axes.select("id", "label", *(F.col("pc")[i].alias(f"pc{i + 1}") for i in range(3)))
+    axes = materialize(learn.pca(_vectors(spark, folder)), "axes")
+    spread = axes.agg(*(F.var_samp(F.col("pc")[i]) for i in range(3)),
+                      *(F.corr(F.col("pc")[i], F.col("pc")[j]) for i, j in ((0, 1), (0, 2), (1, 2))),
+                      *(F.avg(F.col("pc")[i]) for i in range(3))).first()
+    return axes.select("id", "label", F.size("pc").alias("components"),
+                       F.lit(spread[0] >= spread[1] >= spread[2]).alias("in_order"),
+                       F.lit(all(abs(c) < 1e-6 for c in spread[3:6])).alias("uncorrelated"),
+                       F.lit(all(abs(m) < 1e-6 for m in spread[6:])).alias("centred"))
+
+
+def _named_topics(topics: DataFrame, posts: DataFrame) -> DataFrame:
+    """Whether topics are named after their smallest post and hold posts of the table only."""
+    stored = materialize(topics, "topics")
+    least = stored.groupBy("component").agg(F.min("id").alias("least"))
+    well_named = least.filter(F.col("least") != F.col("component")).isEmpty()
+    known = stored.join(posts, "id", "left_anti").isEmpty()
+    return stored.select("id", F.lit(well_named).alias("well_named"), F.lit(known).alias("known"))
 
 
 @query
@@ -605,7 +686,7 @@ def topics_of_texts(spark, folder):
     vectors = materialize(offline.post_vectors(posts).select(
         "id", "label", "text", "time_bucket", "sentence_embeddings", "word_embeddings",
         "hashtags_embeddings"), "text-vectors")
-    return offline.topics_of(vectors)
+    return _named_topics(offline.topics_of(vectors), vectors.select("id"))
 
 
 # Streams
@@ -676,12 +757,13 @@ def stream_topics(spark, folder):
 def stream_scored_topics(spark, folder):
     # The classifier learns from the earlier posts and cuts the edges of the later ones.
     fresh, early = _arrivals(spark, folder)
+    fresh, early = rows.has_hashtags(fresh), rows.has_hashtags(early)
     edges = materialize(elements.proximity_edges(_stored(early), early), "edges")
     model = learn.fit_edge_classifier(learn.edge_labels(edges, rows.vertices(early)))
     topics = TopicStream(spark, scratch_path(spark, "online"), lambda found: graph.cut_edges(
         learn.score_edges(model, found)), N, window=ARRIVAL)
     _arrive(fresh.drop("label", "text", "day_ordinal"), topics)
-    return topics.components()
+    return _named_topics(topics.components(), fresh.select("id"))
 
 
 @query

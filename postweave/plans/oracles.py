@@ -57,17 +57,17 @@ SEES = {
 }
 
 
-def _pairs(mode: str) -> str:
-    return f"""{VECTORS},
+def _pairs(mode: str, posts: str = "true") -> str:
+    return f"""{VECTORS.replace("FROM vecs)", f"FROM vecs WHERE {posts})")},
 pairs AS (
   SELECT a.id AS src, b.id AS dst,
     round(1 - list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS d
   FROM fx a JOIN fx b ON a.id <> b.id AND {SEES[mode]})"""
 
 
-def _near(mode: str = "reference", n: int = N, where: str = "true") -> str:
-    return f"""{_pairs(mode)},
-near AS (
+def _near(mode: str = "reference", n: int = N, where: str = "true", posts: str = "true") -> str:
+    return f"""{_pairs(mode, posts)},
+near AS MATERIALIZED (
   SELECT src, dst, d FROM (
     SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS place
     FROM pairs WHERE {where}) WHERE place <= {n})"""
@@ -85,19 +85,19 @@ def _neighbors(mode: str = "reference", n: int = N, where: str = "true") -> str:
 
 def _elements(column: str, k: int) -> str:
     return f"""
-e_{column} AS (
-  SELECT src, dst, i, j,
-    round(1 - list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)), 9) AS d
-  FROM (
-    SELECT src, dst, i, j, a.{column}[i + 1] AS x, b.{column}[j + 1] AS y
-    FROM near JOIN fx a ON a.id = src JOIN fx b ON b.id = dst,
-      unnest(range(len(a.{column}))) AS r(i), unnest(range(len(b.{column}))) AS s(j))),
+all_{column} AS MATERIALIZED (
+  SELECT src, dst, list_sort(flatten(list_transform(range(len(a.{column})), lambda i:
+    list_transform(range(len(b.{column})), lambda j: {{
+      'd': round(1 - list_dot_product(a.{column}[i + 1], b.{column}[j + 1])
+        / sqrt(list_dot_product(a.{column}[i + 1], a.{column}[i + 1])
+          * list_dot_product(b.{column}[j + 1], b.{column}[j + 1])), 9), 'i': i, 'j': j}}))))[1:{k}] AS best
+  FROM near JOIN fx a ON a.id = src JOIN fx b ON b.id = dst
+  WHERE len(a.{column}) > 0 AND len(b.{column}) > 0),
 best_{column} AS (
-  SELECT src, dst, avg(d) AS distance,
-    string_agg(CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR), ' ' ORDER BY d, i, j) AS couples
-  FROM (
-    SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY d, i, j) AS place
-    FROM e_{column}) WHERE place <= {k} GROUP BY src, dst)"""
+  SELECT src, dst, list_avg(list_transform(best, lambda x: x.d)) AS distance,
+    array_to_string(list_transform(best, lambda x: CAST(x.i AS VARCHAR) || '-' || CAST(x.j AS VARCHAR)), ' ')
+      AS couples
+  FROM all_{column})"""
 
 
 def _closest(column: str, k: int) -> str:
@@ -124,6 +124,17 @@ reached AS (
 topics AS (SELECT id, min(seen) AS component FROM reached GROUP BY id)"""
 
 
+# Only posts with hashtags take part in learning.
+TAGGED = "id % 4 > 0"
+
+LEARNING = f"""{_near(posts=TAGGED)}, {_elements('words', 3)}, {_elements('tags', 9)},
+labelled AS (
+  SELECT near.src, near.dst, near.d, w.distance AS word_distance, t.distance AS hashtag_distance,
+    CAST(a.label IS NOT DISTINCT FROM b.label AS INTEGER) AS label
+  FROM near JOIN fx a ON a.id = near.src JOIN fx b ON b.id = near.dst
+  JOIN best_words w ON w.src = near.src AND w.dst = near.dst
+  JOIN best_tags t ON t.src = near.src AND t.dst = near.dst)"""
+
 FLAT = rf"""{POSTS},
 flat AS (
   SELECT *, regexp_replace(replace(
@@ -333,6 +344,35 @@ ORACLES: dict[str, str] = {
           FROM gaps WHERE own = label GROUP BY label)
         SELECT id, CAST(coalesce(min(CASE WHEN round(d, 9) < round(r, 9) THEN place END), -1) AS INTEGER)
           AS cluster FROM gaps JOIN reach USING (label) GROUP BY id""",
+    "score_edges": f"""WITH {LEARNING}
+        SELECT src, dst, round(d, 6) AS sentence_distance, round(word_distance, 6) AS word_distance,
+          round(hashtag_distance, 6) AS hashtag_distance, label, true AS consistent
+        FROM labelled WHERE (least(src, dst) * 31 + greatest(src, dst)) % 10 >= 8""",
+    "cut_edges": f"""WITH {LEARNING}
+        SELECT label, count(*) AS edges, true AS all_scored, true AS purer FROM labelled GROUP BY label""",
+    "classify_topics": f"""WITH {VECTORS}
+        SELECT id, label, CAST(place AS INTEGER) AS label_idx, true AS known
+        FROM (SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS place FROM fx)
+        WHERE id * 7 % 5 = 3""",
+    "kmeans_topics": f"WITH {VECTORS} SELECT id, label, true AS settled, true AS in_range FROM fx",
+    "pca3": f"""WITH {VECTORS} SELECT id, label, CAST(3 AS INTEGER) AS components, true AS in_order,
+        true AS uncorrelated, true AS centred FROM fx""",
+    "language_id": f"WITH {POSTS} SELECT id, lang, true AS accurate FROM posts WHERE id * 7 % 5 = 3",
+    "approx_neighbors": f"WITH {VECTORS} SELECT id, true AS within, true AS recalled FROM fx",
+    "topics_of_texts": f"WITH {POSTS} SELECT id, true AS well_named, true AS known FROM posts",
+    "stream_scored_topics": f"""WITH {VECTORS} SELECT id, true AS well_named, true AS known FROM fx
+        WHERE time_bucket >= {NEW_BUCKET} AND {TAGGED}""",
+    "nearest_neighbors_blocks": f"""WITH {VECTORS.replace("fx AS (", "single AS (")},
+        fx AS (SELECT id, time_bucket, v, sqrt(list_dot_product(v, v)) AS n FROM (
+          SELECT id, time_bucket, v FROM single UNION ALL
+          SELECT id + 1000000, time_bucket, list_transform(v, lambda x, i: CAST(CAST(
+            x + CASE WHEN i - 1 = id % 64 THEN 1e-4 ELSE 0 END AS FLOAT) AS DOUBLE)) FROM single)),
+        pairs AS (
+          SELECT a.id AS src, b.id AS dst, round(1 - list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS d
+          FROM fx a JOIN fx b ON a.id <> b.id AND a.time_bucket = b.time_bucket)
+        SELECT src, dst, round(d, 6) AS sentence_distance FROM (
+          SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS place FROM pairs)
+        WHERE place <= {N}""",
     "stream_ingest": f"""WITH {POSTS}
         SELECT id, label, regexp_replace(text, '^RT ', '') AS text FROM posts""",
     "stream_enrich": f"""WITH {FLAT}

@@ -19,12 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a table with fewer files than there are cores among all of them.
+    """Share the rows of a table among all cores if it has fewer splits than there are cores.
 
-    Tables of many files are left as they are: their splits already keep the cluster busy.
+    Splits have a bounded size, so what is moved is at most one split per core; large files have more
+    splits than cores and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def with_dates(df: DataFrame, key: str) -> DataFrame:
