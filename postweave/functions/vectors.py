@@ -75,32 +75,31 @@ def embed_tokens(df: DataFrame, encoder: Callable[[], Callable] = hash_encoder,
                  tokens: str = "token", output: str = "word_embeddings") -> DataFrame:
     """Add the vector of every token.
 
-    ``encoder`` is a factory called once per task; what it returns maps a list of
-    distinct tokens to a float matrix. The step is narrow: no shuffle, no vocabulary
-    on the driver, and batches are cut by token count so long texts stay in memory.
+    ``encoder`` is a factory called once per Python worker; what it returns maps a list of distinct
+    tokens to a float matrix. The step is narrow, has no vocabulary on the driver, and only
+    the tokens are sent to Python.
     """
-    schema = df.withColumn(output, F.lit(None).cast("array<array<float>>")).schema
-    position = df.columns.index(tokens)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<array<float>>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder()
-        for batch in batches:
-            for part in _cut_by_length(batch, position, TOKENS_PER_BATCH):
-                yield _append_vectors(part, position, output, encode)
+        for column in batches:
+            yield pa.chunked_array([
+                _token_vectors(part, encode) for part in _cut_by_length(column, TOKENS_PER_BATCH)
+            ] or [_token_vectors(column, encode)]).combine_chunks()
 
-    return df.mapInArrow(run, schema)
+    return df.withColumn(output, embed(tokens))
 
 
-def _cut_by_length(batch: pa.RecordBatch, position: int, limit: int) -> Iterator[pa.RecordBatch]:
-    lengths = batch.column(position).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+def _cut_by_length(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     groups = np.cumsum(lengths) // limit
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else []
     for start, end in zip(starts, [*starts[1:], len(groups)]):
-        yield batch.slice(start, end - start)
+        yield column.slice(start, end - start)
 
 
-def _append_vectors(batch: pa.RecordBatch, position: int, output: str, encode) -> pa.RecordBatch:
-    column = batch.column(position)
+def _token_vectors(column: pa.Array, encode) -> pa.Array:
     flat = column.flatten().fill_null("").dictionary_encode()
     offsets = np.zeros(len(column) + 1, dtype=np.int32)
     np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=offsets[1:])
@@ -110,6 +109,4 @@ def _append_vectors(batch: pa.RecordBatch, position: int, output: str, encode) -
     values = table[codes]
     inner_offsets = np.arange(len(codes) + 1, dtype=np.int32) * values.shape[1]
     inner = pa.ListArray.from_arrays(pa.array(inner_offsets), pa.array(values.ravel()))
-    nested = pa.ListArray.from_arrays(pa.array(offsets), inner, mask=column.is_null())
-    return pa.RecordBatch.from_arrays(
-        [*batch.columns, nested], names=[*batch.schema.names, output])
+    return pa.ListArray.from_arrays(pa.array(offsets), inner, mask=column.is_null())

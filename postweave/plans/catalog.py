@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from postweave import storage
 from postweave.functions import dates as D
 from postweave.functions import text as T
 from postweave.functions import vectors as V
@@ -102,6 +103,27 @@ def _listed(spark, folder):
         F.col("doc_id").cast("string").alias("id"))
 
 
+@query
+def saved_posts(spark, folder):
+    path = scratch_path(spark, "saved")
+    tables.save_posts(_posts(spark, folder), path, "label")
+    return tables.load_posts(spark, path, ["id", "label", "year", "month", "day", "text"])
+
+
+@query
+def reloaded_stage(spark, folder):
+    path = scratch_path(spark, "stage")
+    storage.load_or_compute(spark, path, lambda: _posts(spark, folder).select("id", "label"))
+    # The second call must find the stage that the first one wrote.
+    return storage.load_or_compute(spark, path, lambda: _posts(spark, folder).filter("false"))
+
+
+@query
+def local_rows(spark, folder):
+    counts = rows.label_counts(_posts(spark, folder)).collect()
+    return tables.rows_to_frame(spark, [tuple(r) for r in counts], "label string, posts bigint")
+
+
 @query
 def hydrate_posts(spark, folder):
     return joins.hydrate(_listed(spark, folder), _posts(spark, folder)).select(
@@ -266,12 +288,12 @@ def text_with_info(spark, folder):
 
 @query
 def word_vectors(spark, folder):
-    embedded = V.embed_tokens(_tokens(spark, folder))
-    words = embedded.select(F.inline(F.arrays_zip("token", "word_embeddings")))
-    vector = F.col("word_embeddings")
-    return words.groupBy("token").agg(
-        F.count("*").alias("n"), F.first(vector).alias("word_embeddings")).select(
-        "token", "n", _checksum(F.array("word_embeddings")).alias("checksum"))
+    # Only the vocabulary is embedded.
+    words = _tokens(spark, folder).select(F.explode("token").alias("word"))
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("n"))
+    embedded = V.embed_tokens(vocabulary.withColumn("token", F.array("word")))
+    return embedded.select(
+        F.col("word").alias("token"), "n", _checksum(F.col("word_embeddings")).alias("checksum"))
 
 
 @query
@@ -297,6 +319,13 @@ def drop_punctuation_vectors(spark, folder):
     return embedded.select("id", F.size(left).alias("n"), _checksum(left).alias("checksum"))
 
 
+@query
+def finished_vectors(spark, folder):
+    posts = _vectors(spark, folder)
+    finished = V.finish_vector(F.array("sentence_embeddings"))
+    return posts.select("id", _checksum(F.array(learn.vector_to_array(finished))).alias("checksum"))
+
+
 # Dates and buckets
 
 @query
@@ -424,6 +453,13 @@ def most_similar(spark, folder):
     return neighbors.most_similar(_vectors(spark, folder), 10)
 
 
+@query
+def similar_to_vector(spark, folder):
+    posts = _vectors(spark, folder)
+    mean = posts.agg(*(F.avg(F.get("sentence_embeddings", F.lit(i))) for i in range(64))).first()
+    return neighbors.similar_to_vector(posts, list(mean)).select("id", "label", "text", "similarity")
+
+
 def _closest(spark, folder, column, k):
     posts = _vectors(spark, folder)
     edges = elements.attach_endpoints(_stored(posts), posts, [column])
@@ -606,6 +642,24 @@ def score_edges(spark, folder):
         "src", "dst", *learn.FEATURES, "label", "consistent")
 
 
+@query
+def searched_classifier(spark, folder):
+    """Edges scored by the best classifier of a small grid, written and read again."""
+    labelled = _learning_edges(spark, folder)
+    model, scores = learn.search_edge_classifier(
+        labelled.filter("split = 'train'"), trees=(5, 10), depths=(3, 5))
+    path = scratch_path(spark, "classifier")
+    learn.save_model(model, path)
+    again = learn.load_edge_classifier(path)
+    test = labelled.filter("split = 'test'")
+    first = learn.score_edges(model, test).select("src", "dst", "label", "prediction")
+    second = learn.score_edges(again, test).select("src", "dst", F.col("prediction").alias("reloaded"))
+    both = materialize(first.join(second, ["src", "dst"]), "reloaded")
+    tried = F.lit(len(scores) == 4 and all(0 <= x <= 1 for x in scores))
+    return _with_quality(both, _accuracy(both, "prediction", "reloaded"), "same", 1.0).select(
+        "src", "dst", "label", "same", tried.alias("tried"))
+
+
 @query
 def cut_edges(spark, folder):
     labelled = _learning_edges(spark, folder)
@@ -680,6 +734,18 @@ def _named_topics(topics: DataFrame, posts: DataFrame) -> DataFrame:
     return stored.select("id", F.lit(well_named).alias("well_named"), F.lit(known).alias("known"))
 
 
+@query
+def pca3_with_vector(spark, folder):
+    """The axes of all posts and one more, their mean, which lies at the origin."""
+    posts = _vectors(spark, folder)
+    mean = posts.agg(*(F.avg(F.get("sentence_embeddings", F.lit(i))) for i in range(64))).first()
+    extra = spark.createDataFrame([(-1, "new", [float(x) for x in mean])],
+                                  "id bigint, label string, sentence_embeddings array<float>")
+    axes = learn.pca(posts, extra)
+    near = F.forall("pc", lambda x: F.abs(x) < 1e-4)
+    return axes.select("id", "label", F.when(F.col("id") == -1, near).alias("at_origin"))
+
+
 @query
 def topics_of_texts(spark, folder):
     posts = _posts(spark, folder)
@@ -721,7 +787,7 @@ def stream_enrich(spark, folder):
 
 
 # Time buckets that arrive together in the neighbour stream.
-ARRIVAL = 6
+ARRIVAL = 4
 
 
 def _arrive(posts: DataFrame, online) -> None:
@@ -736,20 +802,36 @@ def _arrive(posts: DataFrame, online) -> None:
         online.start(stream).awaitTermination()
 
 
+# Every so many buckets, one arrives late.
+LATE_STEP = 7
+
+
 @query
 def stream_neighbors(spark, folder):
     posts = _vectors(spark, folder).select("id", "sentence_embeddings", "time_bucket")
-    found = NeighborStream(spark, scratch_path(spark, "online"), N, window=ARRIVAL)
+    found = NeighborStream(spark, scratch_path(spark, "online"), N, window=1)
     _arrive(posts, found)
     return _rounded(neighbors.explode_neighbors(found.neighbors()))
 
 
+@query
+def late_posts(spark, folder):
+    """Every seventh bucket arrives again at the end, when it is too late for all but the newest."""
+    posts = _vectors(spark, folder).select("id", "sentence_embeddings", "time_bucket")
+    found = NeighborStream(spark, scratch_path(spark, "online"), N, window=1)
+    found.update(posts, 0)
+    again = F.pmod("time_bucket", F.lit(LATE_STEP)) == 0
+    found.update(posts.filter(again).withColumn("id", F.col("id") + 1_000_000), 1)
+    return found.late().select("id", "time_bucket")
+
+
 @query
 def stream_topics(spark, folder):
     posts = _vectors(spark, folder).select(
         "id", "sentence_embeddings", "word_embeddings", "hashtags_embeddings", "time_bucket")
-    topics = TopicStream(spark, scratch_path(spark, "online"), _rule, N, window=ARRIVAL)
+    topics = TopicStream(spark, scratch_path(spark, "online"), _rule, N, window=1)
     _arrive(posts, topics)
+    topics.finish()
     return topics.components()
 
 
@@ -761,8 +843,9 @@ def stream_scored_topics(spark, folder):
     edges = materialize(elements.proximity_edges(_stored(early), early), "edges")
     model = learn.fit_edge_classifier(learn.edge_labels(edges, rows.vertices(early)))
     topics = TopicStream(spark, scratch_path(spark, "online"), lambda found: graph.cut_edges(
-        learn.score_edges(model, found)), N, window=ARRIVAL)
+        learn.score_edges(model, found)), N, window=1)
     _arrive(fresh.drop("label", "text", "day_ordinal"), topics)
+    topics.finish()
     return _named_topics(topics.components(), fresh.select("id"))
 
 

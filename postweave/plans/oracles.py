@@ -6,7 +6,7 @@ components by a recursive query, unlike in the Spark plans.
 
 from __future__ import annotations
 
-from postweave.plans.catalog import ARRIVAL, CLOSE, N, NEW_BUCKET, REACH
+from postweave.plans.catalog import CLOSE, LATE_STEP, N, NEW_BUCKET, REACH
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE_SET = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
@@ -49,11 +49,6 @@ SEES = {
     "same_bucket": "a.time_bucket = b.time_bucket",
     "all": "true",
     "online": f"a.time_bucket >= {NEW_BUCKET}",
-    # A post sees those that arrived with it or before and are still in the window,
-    # counted back from the newest bucket of its arrival group.
-    "stream": f"""b.time_bucket // {ARRIVAL} <= a.time_bucket // {ARRIVAL}
-      AND b.time_bucket >= (SELECT max(c.time_bucket) FROM fx c
-        WHERE c.time_bucket // {ARRIVAL} = a.time_bucket // {ARRIVAL}) - {ARRIVAL}""",
 }
 
 
@@ -189,6 +184,18 @@ ORACLES: dict[str, str] = {
     "load_posts": "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE text <> ''",
     "labelled_ids": """SELECT source || '.ids' AS label, CAST(doc_id AS VARCHAR) AS id
         FROM documents WHERE source <> 'src0'""",
+    "saved_posts": f"WITH {POSTS}, {DATED} SELECT id, label, year, month, day, text FROM dated",
+    "reloaded_stage": "SELECT doc_id AS id, source AS label FROM documents",
+    "local_rows": "SELECT source AS label, count(*) AS posts FROM documents GROUP BY source",
+    "finished_vectors": f"""WITH {VECTORS} SELECT id,
+        round(list_sum(list_transform(range(len(v)), lambda i: v[i + 1] * (i + 1))), 4) AS checksum FROM fx""",
+    "similar_to_vector": f"""WITH {VECTORS},
+        parts AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM fx),
+        means AS (SELECT pos, avg(x) AS m FROM parts GROUP BY pos),
+        scored AS (SELECT id, sum(x * m) / sqrt(sum(x * x) * sum(m * m)) AS raw
+          FROM parts JOIN means USING (pos) GROUP BY id)
+        SELECT id, label, text, round(round(raw, 9), 2) AS similarity FROM scored JOIN fx USING (id)
+        ORDER BY round(raw, 9) DESC, id LIMIT 10""",
     "hydrate_posts": f"""WITH {POSTS}, {DATED}, {LISTED}
         SELECT l.label, l.id, year, month, day, text FROM listed l JOIN dated USING (id)""",
     "keyword_search": f"""WITH {POSTS}, {DATED}
@@ -355,6 +362,11 @@ ORACLES: dict[str, str] = {
         FROM (SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS place FROM fx)
         WHERE id * 7 % 5 = 3""",
     "kmeans_topics": f"WITH {VECTORS} SELECT id, label, true AS settled, true AS in_range FROM fx",
+    "searched_classifier": f"""WITH {LEARNING}
+        SELECT src, dst, label, true AS same, true AS tried
+        FROM labelled WHERE (least(src, dst) * 31 + greatest(src, dst)) % 10 >= 8""",
+    "pca3_with_vector": f"""WITH {VECTORS} SELECT id, label, CAST(NULL AS BOOLEAN) AS at_origin FROM fx
+        UNION ALL SELECT -1, 'new', true""",
     "pca3": f"""WITH {VECTORS} SELECT id, label, CAST(3 AS INTEGER) AS components, true AS in_order,
         true AS uncorrelated, true AS centred FROM fx""",
     "language_id": f"WITH {POSTS} SELECT id, lang, true AS accurate FROM posts WHERE id * 7 % 5 = 3",
@@ -379,8 +391,10 @@ ORACLES: dict[str, str] = {
         SELECT id, clean AS text, hashtags, mentions,
           CAST((day - DATE '2012-01-01') // 182 AS INTEGER) AS time_bucket,
           CAST(len(regexp_extract_all(clean, '{TOKEN}')) AS INTEGER) AS n_tokens FROM cleaned""",
-    "stream_neighbors": _neighbors("stream"),
-    "stream_topics": f"WITH RECURSIVE {_components('stream')} SELECT id, component FROM topics",
+    "stream_neighbors": _neighbors("symmetric"),
+    "stream_topics": f"WITH RECURSIVE {_components('symmetric')} SELECT id, component FROM topics",
+    "late_posts": f"""WITH {VECTORS} SELECT id + 1000000 AS id, time_bucket FROM fx
+        WHERE time_bucket % {LATE_STEP} = 0 AND time_bucket < (SELECT max(time_bucket) FROM fx) - 1""",
     "stream_components": f"""WITH RECURSIVE {_components()}
         SELECT id, component FROM topics
         WHERE id IN (SELECT src FROM kept UNION SELECT dst FROM kept)""",

@@ -14,12 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from postweave.operators.elements import proximity_edges
 from postweave.operators.graph import component_stars
 from postweave.operators.neighbors import NEIGHBORS, explode_neighbors, nearest_in_buffer
-from postweave.storage import committed_batches, materialize
+from postweave.storage import committed_batches, delete, discard, materialize
 from postweave.streaming.ingest import split_late
 
 LINK_SCHEMA = "id bigint, component bigint"
 MERGE_SCHEMA = "component bigint, root bigint"
 BUFFER_SCHEMA = "id bigint, sentence_embeddings array<float>, time_bucket int"
+LIST_SCHEMA = f"id bigint, time_bucket int, neighbors {NEIGHBORS}"
 ARRAY_SCHEMA = ("id bigint, word_embeddings array<array<float>>, "
                 "hashtags_embeddings array<array<float>>, time_bucket int")
 EDGE_SCHEMA = ("src bigint, dst bigint, sentence_distance double, word_distance double, "
@@ -41,30 +42,69 @@ def _read_batches(spark: SparkSession, path: str, below: int | None, schema: str
     )
 
 
-class NeighborStream:
-    """Finds the nearest buffered or simultaneous posts of every arriving post.
+def _read_last(spark: SparkSession, path: str, below: int | None, schema: str) -> DataFrame:
+    """What the last batch before ``below`` (or of all) wrote; empty if there is none."""
+    numbers = [n for n in committed_batches(spark, path) if below is None or n < below]
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch={numbers[-1]}")
+
+
+def _forget(spark: SparkSession, paths: list[str], below: int) -> None:
+    """Delete the state of batches before ``below``; the last two copies are kept for a rerun."""
+    for path in paths:
+        for number in committed_batches(spark, path):
+            if number < below:
+                delete(spark, f"{path}/batch={number}")
 
-    The buffer is a table with the posts of the last ``window`` time buckets before
-    the newest one, partitioned by bucket: older ones are pruned from each read. Posts older than that on
-    arrival go to the ``late`` table, for the batch path.
+
+class NeighborStream:
+    """Keeps the nearest posts within ``window`` time buckets before and after every post.
+
+    A post that arrives is looked up among all posts near it in time, and the lists of those posts are
+    renewed, as it may belong into them. Posts more than ``window`` buckets older than the newest one of
+    earlier batches go to the ``late`` table, for the batch path. So after a batch, lists more than
+    ``2 * window`` buckets back are final: they are moved to the ``closed`` table, and equal those of the
+    batch operator over all timely posts. Of the posts, only the last ``3 * window`` buckets are kept, of
+    their lists only those that are not closed: each batch writes its own copy of this state and
+    deletes the one before the last.
     """
 
     def __init__(self, spark: SparkSession, path: str, n: int = 12, window: int = 1):
         self.spark, self.path, self.n, self.window = spark, path, n, window
 
     def update(self, batch: DataFrame, number: int) -> None:
-        posts = materialize(batch.select("id", "sentence_embeddings", "time_bucket"), "arrived")
-        buffered = _read_batches(self.spark, f"{self.path}/buffer", number, BUFFER_SCHEMA)
-        newest = posts.select("time_bucket").unionByName(
-            buffered.select("time_bucket")).agg(F.max("time_bucket")).first()[0]
-        if newest is None:
-            newest = 0
-        timely, late = split_late(posts, newest, self.window)
-        kept, _ = split_late(buffered, newest, self.window)
-        found = nearest_in_buffer(timely, kept, self.n)
-        _write_batch(found, f"{self.path}/neighbors", number)
+        columns = ("id", "sentence_embeddings", "time_bucket")
+        posts = materialize(batch.select(*columns), "arrived")
+        buffered, lists = self._state(number)
+        before = buffered.agg(F.max("time_bucket")).first()[0]
+        if before is None:
+            timely, late = posts, posts.filter("false")
+        else:
+            timely, late = split_late(posts, before, self.window)
+        first, last = timely.agg(F.min("time_bucket"), F.max("time_bucket")).first()
+        newest = max(x for x in (before, last, 0) if x is not None)
+        near = F.col("time_bucket").between(
+            F.lit(first).cast("int") - self.window, F.lit(last).cast("int") + self.window)
+        touched = timely.unionByName(buffered.filter(near))
+        found = nearest_in_buffer(touched, buffered.filter(~F.coalesce(near, F.lit(False))), self.n,
+                                  window=self.window)
+        renewed = materialize(touched.select("id", "time_bucket").join(found, "id"), "renewed")
+        kept = lists.join(touched.select("id"), "id", "left_anti")
+        every = renewed.unionByName(kept.select(*renewed.columns))
+        closed = F.col("time_bucket") < newest - 2 * self.window
+        _write_batch(every.filter(closed), f"{self.path}/closed", number)
+        _write_batch(every.filter(~closed), f"{self.path}/open", number)
         _write_batch(late, f"{self.path}/late", number)
-        _write_batch(timely, f"{self.path}/buffer", number, "time_bucket")
+        recent = F.col("time_bucket") >= newest - 3 * self.window
+        _write_batch(buffered.unionByName(timely).filter(recent), f"{self.path}/buffer", number)
+        discard(posts, renewed)
+        _forget(self.spark, [f"{self.path}/open", f"{self.path}/buffer"], number - 1)
+
+    def _state(self, below: int | None) -> tuple[DataFrame, DataFrame]:
+        """Posts and open lists as the last batch before ``below`` left them."""
+        return (_read_last(self.spark, f"{self.path}/buffer", below, BUFFER_SCHEMA),
+                _read_last(self.spark, f"{self.path}/open", below, LIST_SCHEMA))
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (
@@ -73,15 +113,18 @@ class NeighborStream:
             .trigger(availableNow=True).start()
         )
 
-    def found(self, number: int) -> DataFrame:
-        """The neighbours of the posts of one batch."""
-        return self.spark.read.schema(f"id bigint, neighbors {NEIGHBORS}").parquet(
-            f"{self.path}/neighbors/batch={number}")
+    def closed(self, number: int) -> DataFrame:
+        """The lists that became final in one batch."""
+        return self.spark.read.schema(LIST_SCHEMA).parquet(f"{self.path}/closed/batch={number}")
+
+    def open(self) -> DataFrame:
+        """The lists that later posts may still change."""
+        return self._state(None)[1]
 
     def neighbors(self) -> DataFrame:
         """The neighbours of all posts that arrived in time."""
-        return _read_batches(self.spark, f"{self.path}/neighbors", None,
-                             f"id bigint, neighbors {NEIGHBORS}")
+        closed = _read_batches(self.spark, f"{self.path}/closed", None, LIST_SCHEMA)
+        return closed.unionByName(self.open()).select("id", "neighbors")
 
     def late(self) -> DataFrame:
         """The posts that arrived too late."""
@@ -124,6 +167,8 @@ class ComponentStream:
         )
         _write_batch(merges, f"{self.path}/merges", number)
         _write_batch(fresh, f"{self.path}/links", number)
+        _forget(self.spark, [f"{self.path}/merges"], number - 1)
+        discard(edges, current)
 
     def _merges(self, below: int | None) -> DataFrame:
         path = f"{self.path}/merges"
@@ -150,8 +195,9 @@ class TopicStream:
     """Topics while vectorised posts arrive: neighbours, edges, cut, components.
 
     ``accept`` keeps the edges within a topic, for example by a fitted classifier:
-    ``lambda edges: cut_edges(score_edges(model, edges))``. Arrays are read back only for
-    the time buckets that can still be neighbours.
+    ``lambda edges: cut_edges(score_edges(model, edges))``. Only final lists become edges, as components can
+    be joined but not parted; ``finish`` takes the rest when no more posts are to come. Arrays are kept for
+    the time buckets that final lists can still reach. Late posts take no part.
     """
 
     def __init__(self, spark: SparkSession, path: str, accept: Callable[[DataFrame], DataFrame],
@@ -165,18 +211,32 @@ class TopicStream:
         columns = ("id", "sentence_embeddings", "word_embeddings", "hashtags_embeddings", "time_bucket")
         posts = materialize(batch.select(*columns), "arrived")
         self.near.update(posts, number)
-        _write_batch(posts.drop("sentence_embeddings"), f"{self.path}/arrays", number, "time_bucket")
-        known = _read_batches(self.spark, f"{self.path}/arrays", number + 1, ARRAY_SCHEMA)
-        newest = known.agg(F.max("time_bucket")).first()[0]
-        if newest is not None:
-            known, _ = split_late(known, newest, self.window)
-        edges = proximity_edges(
-            explode_neighbors(self.near.found(number)), known, self.words, self.hashtags)
+        stored = _read_last(self.spark, f"{self.path}/arrays", number, ARRAY_SCHEMA)
+        arrays = materialize(stored.unionByName(posts.drop("sentence_embeddings")), "arrays")
+        newest = arrays.agg(F.max("time_bucket")).first()[0] or 0
+        late = self.spark.read.schema(BUFFER_SCHEMA).parquet(f"{self.path}/near/late/batch={number}")
+        self._link(self.near.closed(number), arrays, posts.join(late.select("id"), "id", "left_anti"), number)
+        # The next lists to be closed are those of the last buckets, with neighbours before them.
+        _write_batch(arrays.filter(F.col("time_bucket") >= newest - 4 * self.window),
+                     f"{self.path}/arrays", number)
+        _forget(self.spark, [f"{self.path}/arrays"], number - 1)
+        discard(posts, arrays)
+
+    def finish(self) -> None:
+        """Take the lists that are still open as final."""
+        number = max(committed_batches(self.spark, f"{self.path}/arrays"), default=-1) + 1
+        arrays = _read_last(self.spark, f"{self.path}/arrays", None, ARRAY_SCHEMA)
+        self._link(self.near.open(), arrays, arrays.filter("false"), number)
+
+    def _link(self, lists: DataFrame, arrays: DataFrame, posts: DataFrame, number: int) -> None:
+        found = materialize(explode_neighbors(lists.select("id", "neighbors")), "final")
+        edges = proximity_edges(found, arrays, self.words, self.hashtags)
         _write_batch(edges, f"{self.path}/edges", number)
         stored = self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.path}/edges/batch={number}")
         # A post without accepted edges is a topic of its own: it is linked to itself.
         alone = posts.select(F.col("id").alias("src"), F.col("id").alias("dst"))
         self.topics.update(self.accept(stored).select("src", "dst").unionByName(alone), number)
+        discard(found)
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (
@@ -190,5 +250,5 @@ class TopicStream:
         return _read_batches(self.spark, f"{self.path}/edges", None, EDGE_SCHEMA)
 
     def components(self) -> DataFrame:
-        """``(id, component)`` of all posts that arrived."""
+        """``(id, component)`` of all posts that arrived in time."""
         return self.topics.components()

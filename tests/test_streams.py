@@ -43,12 +43,7 @@ def test_neighbor_stream_with_eviction_late_posts_and_replay(spark):
     for number, part in enumerate(batches):
         online.update(frame(part), number)
         online.update(frame(part), number)
-    expected = {}
-    for number, part in enumerate(batches):
-        timely = [r for r in part if r is not late and r[2] >= 2 * number]
-        kept = [r for r in batches[number - 1] if r[2] >= 2 * number] if number else []
-        expected |= brute_force(timely + kept, 4, "all", fresh={r[0] for r in timely})
-    same(as_dict(online.neighbors()), expected)
+    same(as_dict(online.neighbors()), brute_force(rows, 4, "symmetric"))
     assert [r["id"] for r in online.late().collect()] == [1000]
 
 
@@ -58,10 +53,23 @@ def test_stream_of_one_bucket(spark):
     online.update(spark.createDataFrame(rows[:20], SCHEMA), 0)
     online.update(spark.createDataFrame([], SCHEMA), 1)
     online.update(spark.createDataFrame(rows[20:], SCHEMA), 2)
-    found = as_dict(online.neighbors())
-    assert {i: found[i] for i, _, _ in rows[20:]}.keys() == {i for i, _, _ in rows[20:]}
-    same({i: found[i] for i, _, _ in rows[20:]},
-         brute_force(rows, 3, "all", fresh={i for i, _, _ in rows[20:]}))
+    same(as_dict(online.neighbors()), brute_force(rows, 3, "symmetric"))
+
+
+def test_state_of_many_batches_stays_flat(spark):
+    import os
+
+    rows = clustered(12, 100, 20)
+    path = scratch_path(spark, "test-online")
+    online = NeighborStream(spark, path, n=2)
+    folder = path.removeprefix("file:")
+    counts = []
+    for bucket in range(20):
+        online.update(spark.createDataFrame([r for r in rows if r[2] == bucket], SCHEMA), bucket)
+        counts.append(sum(len([x for x in os.listdir(f"{folder}/{part}") if x.startswith("batch=")])
+                          for part in ("open", "buffer")))
+    assert counts[5:] == [4] * 15
+    same(as_dict(online.neighbors()), brute_force(rows, 2, "symmetric"))
 
 
 def test_topic_stream_equals_batch_on_its_edges(spark):
@@ -76,7 +84,13 @@ def test_topic_stream_equals_batch_on_its_edges(spark):
     online = TopicStream(spark, scratch_path(spark, "test-online"), accept, n=3)
     for bucket in range(3):
         online.update(posts.filter(F.col("time_bucket") == bucket), bucket)
+    online.finish()
     edges = online.edges()
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+    assert near == {i: {x[1] for x in f} for i, f in brute_force(
+        [r[:3] for r in rows], 3, "symmetric").items()}
     assert edges.filter("hashtag_distance IS NULL").count() > 0
     assert edges.filter("word_distance IS NULL").count() == 0
     batch = graph.connected_components(posts.select("id"), accept(edges))
