@@ -10,7 +10,8 @@ from pyspark.ml.classification import (
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
-    PCA, HashingTF, IndexToString, NGram, Normalizer, StandardScaler, StringIndexer, VectorAssembler)
+    PCA, HashingTF, IndexToString, NGram, Normalizer, StandardScaler, StringIndexer, VectorAssembler,
+    Word2Vec)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
@@ -30,6 +31,7 @@ BINS = 32
 TRAIN_RATIO = 0.8
 TOPIC_TREES = 10
 KMEANS_SEED = 1
+WORD_DIMENSIONS = 32
 COMPONENTS = 3
 
 # Centroids that are compared at a time: 1,000 x 768 doubles are 6 MiB.
@@ -108,6 +110,37 @@ def score_edges(model: RandomForestClassificationModel, edges: DataFrame,
     return scored.drop("rawPrediction", "features")
 
 
+def fit_word_vectors(tokens: DataFrame, column: str = "token", size: int = WORD_DIMENSIONS,
+                     least_count: int = 5, partitions: int | None = None) -> DataFrame:
+    """``(word, vector)`` of a skip-gram model trained on token arrays, as vectors of float arrays.
+
+    Words with fewer than ``least_count`` occurrences have no vector: MLlib keeps the vocabulary on the
+    driver, so it should grow with the corpus. All cores train side by side unless ``partitions`` says
+    otherwise.
+    """
+    parts = partitions or tokens.sparkSession.sparkContext.defaultParallelism
+    model = Word2Vec(inputCol=column, vectorSize=size, minCount=least_count, seed=SEED,
+                     maxIter=1, numPartitions=parts).fit(tokens.select(column))
+    return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
+
+
+def embed_by_table(posts: DataFrame, words: DataFrame, tokens: str = "token",
+                   output: str = "word_embeddings", size: int = WORD_DIMENSIONS) -> DataFrame:
+    """Add the vector of every token from a stored ``words(word, vector)`` table, zeros for unknown words.
+
+    Frequent words are spread over several tasks.
+    """
+    spelled = posts.select("id", F.posexplode(tokens).alias("position", "word"))
+    hot = hot_keys(spelled, "word")
+    found = salted_join(spelled, words, "word", "id", hot, "left")
+    zeros = F.array(*[F.lit(0.0).cast("float")] * size)
+    vectors = found.groupBy("id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("position", F.coalesce("vector", zeros).alias("vector")))),
+        lambda x: x["vector"]).alias(output))
+    empty = F.array().cast("array<array<float>>")
+    return posts.join(vectors, "id", "left").withColumn(output, F.coalesce(output, empty))
+
+
 def save_model(model, path: str) -> None:
     """Write a fitted model, replacing an older one."""
     model.write().overwrite().save(path)

@@ -749,7 +749,9 @@ def pca3_with_vector(spark, folder):
 @query
 def topics_of_texts(spark, folder):
     posts = _posts(spark, folder)
-    vectors = materialize(offline.post_vectors(posts).select(
+    spelled = materialize(ingest.enrich_posts(posts).select("token"), "tokens")
+    words = materialize(learn.fit_word_vectors(spelled), "words")
+    vectors = materialize(offline.post_vectors(posts, words).select(
         "id", "label", "text", "time_bucket", "sentence_embeddings", "word_embeddings",
         "hashtags_embeddings"), "text-vectors")
     return _named_topics(offline.topics_of(vectors), vectors.select("id"))

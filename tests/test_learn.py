@@ -87,3 +87,31 @@ def test_language_identification(spark):
     train, test = posts.filter("id % 2 = 0"), posts.filter("id % 2 = 1")
     out = L.detect_language(L.fit_language_model(train), test)
     assert out.filter("lang = language").count() / test.count() >= 0.9
+
+
+def test_word_vectors_tell_topics_apart(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    topics = [[f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]]
+    rows = [(k, [rng.choice(topics[k % 2]) for _ in range(30)]) for k in range(300)]
+    posts = spark.createDataFrame(rows + [(900, ["a1", "unknown"]), (901, [])], "id bigint, token array<string>")
+    words = L.fit_word_vectors(posts, size=8, partitions=1).cache()
+    found = {r["word"]: np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in words.collect()}
+    same = np.mean([found["a0"] @ found[w] for w in topics[0][1:]])
+    other = np.mean([found["a0"] @ found[w] for w in topics[1]])
+    assert "unknown" not in found and same > other + 0.2
+    embedded = {r["id"]: r["word_embeddings"] for r in L.embed_by_table(posts, words, size=8).collect()}
+    assert len(embedded) == 302 and embedded[901] == [] and embedded[900][1] == [0.0] * 8
+    assert np.allclose(embedded[900][0] / np.linalg.norm(embedded[900][0]), found["a1"], atol=1e-6)
+
+
+def test_any_number_of_centroids(spark):
+    rows = [(i, f"l{i:05d}", [float(i), 0.0]) for i in range(12_000)]
+    posts = spark.createDataFrame(rows, "id bigint, label string, sentence_embeddings array<float>")
+    centroids = spark.createDataFrame(
+        [(label, v, 0.5) for _, label, v in rows], "label string, centroid array<double>, threshold double")
+    out = {r["id"]: r["cluster"] for r in L.assign_centroid(posts.filter("id % 400 = 0"), centroids).collect()}
+    assert out == {i: i for i in range(0, 12_000, 400)}
