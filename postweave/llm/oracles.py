@@ -110,9 +110,33 @@ SELECT k.page_id, host, fetched, coalesce(n_listed, 0) AS n_listed, coalesce(n_l
 FROM keyed AS k LEFT JOIN held AS h ON k.page_id = h.page_id
 """
 
+_OP10 = f"""
+WITH RECURSIVE docs AS (
+    SELECT DISTINCT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_SPACE_RUN}), lambda w: w <> '') AS words
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+    FROM docs, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS u(i) WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT x, y FROM pairs JOIN sizes AS a ON a.doc_id = x JOIN sizes AS b ON b.doc_id = y
+    WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+reached AS (
+    SELECT doc_id AS id, doc_id AS seen FROM docs
+    UNION SELECT r.id, l.y FROM reached AS r JOIN links AS l ON l.x = r.seen),
+least AS (SELECT id, min(seen) AS component_id FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM docs AS d JOIN least ON id = d.doc_id LEFT JOIN sizes AS z ON z.doc_id = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_quality": _OP1,
     "op4_line_dedup": _OP4,
     "op6_url_lists": _OP6,
     "op9_decontamination": _OP9,
+    "op10_ngram_join": _OP10,
 }

@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from check import database, difference
+from conftest import SMALL
 from llm_support import WORDS, by_id, documents, mixed_texts
-from postweave.llm import ngram_join as J
+from postweave.llm import ngram_join as J, oracles, queries
 
 
 def shingles(text):
@@ -90,3 +92,8 @@ def test_sets_do_not_depend_on_chunks(monkeypatch):
 def test_short_text_is_no_part_of_a_longer_one():
     a, b = J.shingle_sets(pa.array(["a b c d", "a b c d e"]))
     assert not set(a.tolist()) & set(b.tolist())
+
+
+def test_query_equals_sql(spark):
+    frame = queries.op10_ngram_join(spark, SMALL)
+    assert difference(frame, database(SMALL).execute(oracles.ORACLES["op10_ngram_join"])) == ""
