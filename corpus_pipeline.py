@@ -58,8 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Ids of every document, and the digest of the text they decode to."""
     path = vocabulary("piece_bpe_32k.model")
-    encoded = piece_encoding.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    return piece_encoding.decode(encoded.drop("text"), path).select(
+    return piece_encoding.round_trip(docs.select("doc_id", "lang", "source", "text"), path).select(
         "doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLANK = "▁"
-# Parts of texts that a Python worker remembers.
-REMEMBERED_PARTS = 600_000
+# Parts of texts that a Python worker remembers: so many recent ones, and as many from before.
+REMEMBERED_PARTS = 150_000
 # Texts are encoded in groups of about this many characters.
-GROUP_CHARACTERS = 1_000_000
+GROUP_CHARACTERS = 300_000
 
 
 class Agenda:
@@ -133,6 +133,7 @@ class PieceCodec:
         self.coarse, self.fine = re.compile(coarse), re.compile(fine)
         self.joining = re.compile(f"[{re.escape(joining)}]" if joining else "(?!)")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.wrong: set[str] = set()
         # What each id stands for; control ids stand for nothing.
         self.spelling = []
@@ -149,9 +150,6 @@ class PieceCodec:
 
     def _learn(self, parts: set[str]) -> None:
         """Encode parts that are met for the first time, by agenda and by the library."""
-        if len(self.known) + len(parts) > REMEMBERED_PARTS:
-            self.known.clear()
-            self.wrong.clear()
         new = sorted(parts)
         # The library puts a blank in front of its input; the part after it is what counts.
         lead = len(self.library.encode("\n")) - 1
@@ -173,14 +171,16 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text, and whether they are the library's."""
         split = [self.parts(t) for t in texts]
-        known = self.known
+        if len(self.known) > REMEMBERED_PARTS:
+            # What is not met again until the next change is forgotten.
+            self.known, self.older = {}, self.known
+            self.wrong &= self.older.keys()
+        known, older = self.known, self.older
         new = {p for parts in split for p in parts if p not in known}
-        if new:
-            self._learn(new)
-            again = {p for parts in split for p in parts if p not in known}
-            if again:
-                # Memory was cleared for the new parts; the group's others come back.
-                self._learn(again)
+        met = {p for p in new if p in older}
+        known.update((p, older[p]) for p in met)
+        if len(new) > len(met):
+            self._learn(new - met)
         ids = [self.begin + b"".join([known[p] for p in parts]) + self.end for parts in split]
         agrees = [not (self.wrong and any(p in self.wrong for p in parts)) for parts in split]
         return ids, agrees
@@ -221,11 +221,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", by_agenda: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            for group in text_groups(batch.column(batch.schema.get_field_index(text))):
-                ids, agrees = codec(path, by_agenda).encode(group)
-                part = batch.slice(start, len(group))
-                start += len(group)
+            for part, ids, agrees in _encoded(batch, text, codec(path, by_agenda)):
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(ids, pa.binary()), pa.array(agrees)],
                     names=[*part.schema.names, "ids", "agrees"])
@@ -233,6 +229,34 @@ def encode(docs: DataFrame, path: str, text: str = "text", by_agenda: bool = Tru
     return docs.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: replaces the text by ``ids``, ``agrees`` and ``decoded``."""
+    docs = docs.drop("ids", "agrees", "decoded")
+    names = [c for c in docs.columns if c != text]
+    schema = docs.select(*names, F.lit(b"").alias("ids"), F.lit(True).alias("agrees"),
+                         F.lit("").alias("decoded")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, ids, agrees in _encoded(batch, text, codec(path)):
+                decoded = [codec(path).decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(part.schema.get_field_index(n)) for n in names),
+                     pa.array(ids, pa.binary()), pa.array(agrees), pa.array(decoded, pa.string())],
+                    names=[*names, "ids", "agrees", "decoded"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _encoded(batch: pa.RecordBatch, text: str, by: PieceCodec) -> Iterator[tuple]:
+    """Slices of a batch with the ids of their texts."""
+    start = 0
+    for group in text_groups(batch.column(batch.schema.get_field_index(text))):
+        ids, agrees = by.encode(group)
+        yield batch.slice(start, len(group)), ids, agrees
+        start += len(group)
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded``, the text of the column ``ids``; null ids give a null text."""
     encoded = encoded.drop("decoded")

@@ -91,8 +91,7 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op8_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = vocabulary("piece_bpe_32k.model")
-    encoded = piece_encoding.encode(docs, path).drop("text")
-    return piece_encoding.decode(encoded, path).select(
+    return piece_encoding.round_trip(docs, path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
         "agrees")
