@@ -273,8 +273,10 @@ def weak_labels(docs: DataFrame, documents: int = TRAINING_DOCUMENTS,
 
     Lines with a span come first. Both numbers are bounds of the training table only.
     """
-    chosen = docs.filter(F.col("text").rlike("[0-9]")).select("doc_id", "text").orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(documents)
+    # Ids are ranked without their texts, which are then looked up for the few chosen ones.
+    ids = docs.filter(F.col("text").rlike("[0-9]") & F.col("doc_id").isNotNull()).select(
+        "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     parted = chosen.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(
         "line <> ''")
     marked = F.col("line").rlike(r"[0-9]{4}|[0-9]\.[0-9]|@")
