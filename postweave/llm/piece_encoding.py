@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -150,14 +152,14 @@ class PieceCodec:
 
     def _learn(self, parts: set[str]) -> None:
         """Encode parts that are met for the first time, by agenda and by the library."""
-        new = sorted(parts)
+        new = list(parts)
         # The library puts a blank in front of its input; the part after it is what counts.
         lead = len(self.library.encode("\n")) - 1
         theirs = self.library.encode(["\n" + p for p in new], num_threads=1)
         for part, ids in zip(new, theirs):
             expected = ids[lead + 1:]
             found = self.agenda.encode(part) if self.by_agenda else expected
-            self.known[part] = np.array(found, "<u4").tobytes()
+            self.known[part] = array("I", found).tobytes()
             if found != expected:
                 self.wrong.add(part)
 
@@ -176,12 +178,12 @@ class PieceCodec:
             self.known, self.older = {}, self.known
             self.wrong &= self.older.keys()
         known, older = self.known, self.older
-        new = {p for parts in split for p in parts if p not in known}
-        met = {p for p in new if p in older}
+        new = set(chain.from_iterable(split)) - known.keys()
+        met = new & older.keys()
         known.update((p, older[p]) for p in met)
         if len(new) > len(met):
             self._learn(new - met)
-        ids = [self.begin + b"".join([known[p] for p in parts]) + self.end for parts in split]
+        ids = [self.begin + b"".join(map(known.__getitem__, parts)) + self.end for parts in split]
         agrees = [not (self.wrong and any(p in self.wrong for p in parts)) for parts in split]
         return ids, agrees
 
