@@ -156,13 +156,18 @@ def with_vector(posts: DataFrame, output: str = "features") -> DataFrame:
     return posts.withColumn(output, array_to_vector("sentence_embeddings"))
 
 
-def fit_topic_classifier(posts: DataFrame) -> PipelineModel:
-    """A random forest from sentence vectors to labels; labels are indexed in sorted order."""
+def fit_topic_classifier(posts: DataFrame, labelled: DataFrame | None = None) -> PipelineModel:
+    """A random forest from sentence vectors to labels; labels are indexed in sorted order.
+
+    The labels are those of ``labelled``, if given: posts whose label is not among the training
+    posts are then classified as well.
+    """
     index = StringIndexer(inputCol="label", outputCol="label_idx",
                           stringOrderType="alphabetAsc", handleInvalid="skip")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label_idx", numTrees=TOPIC_TREES, seed=SEED)
-    return Pipeline(stages=[index, forest]).fit(with_vector(posts))
+    indexed = index.fit(posts if labelled is None else labelled)
+    return Pipeline(stages=[indexed, forest]).fit(with_vector(posts))
 
 
 def classify_topics(model: PipelineModel, posts: DataFrame) -> DataFrame:

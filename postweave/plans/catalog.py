@@ -231,9 +231,10 @@ def tokens(spark, folder):
 def language_id(spark, folder):
     posts = _posts(spark, folder)
     model = learn.fit_language_model(posts.filter(~_held_out()))
-    found = materialize(learn.detect_language(model, posts.filter(_held_out())).select(
+    found = materialize(learn.detect_language(model, posts).select(
         "id", "lang", "language"), "languages")
-    return _with_quality(found, _accuracy(found, "lang", "language"), "accurate", 0.9).select(
+    unseen = found.filter(_held_out())
+    return _with_quality(found, _accuracy(unseen, "lang", "language"), "accurate", 0.9).select(
         "id", "lang", "accurate")
 
 
@@ -676,8 +677,8 @@ def cut_edges(spark, folder):
 @query
 def classify_topics(spark, folder):
     posts = _vectors(spark, folder)
-    model = learn.fit_topic_classifier(posts.filter(~_held_out()))
-    found = materialize(learn.classify_topics(model, posts.filter(_held_out())), "classified")
+    model = learn.fit_topic_classifier(posts.filter(~_held_out()), posts)
+    found = materialize(learn.classify_topics(model, posts), "classified")
     # The labels of the stored vectors are not predictable, so only the form is checked.
     labels = rows.label_counts(posts).count()
     known = found.agg(F.avg(F.col("prediction").isin(list(range(labels))).cast("double")))
