@@ -151,8 +151,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: int = SIM
 
 def similar_pairs(docs: DataFrame, sets: DataFrame, chosen: DataFrame, width: int = WIDTH,
                   similarity: int = SIMILARITY, block_shingles: int = BLOCK_SHINGLES,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(src, dst)``: links that connect all linked documents among ``chosen(doc_id, n_shingles)``."""
+                  hot_rows: int = HOT_ROWS, every: bool = False) -> DataFrame:
+    """``(src, dst)``: links that connect all linked documents among ``chosen(doc_id, n_shingles)``.
+
+    With ``every`` all candidates are verified and each linked pair is returned once, ``src`` below
+    ``dst``: with class representatives as ``chosen``, pairs of different sets. Their number grows with
+    the square of a group of near copies, so components are better found without it.
+    """
     groups = materialize(_groups(sets, chosen, similarity, hot_rows), "groups")
     ids = broadcast_if_small(materialize(groups.select("doc_id").distinct(), "members"))
     members = member_table(docs.join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])
@@ -164,12 +169,14 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, chosen: DataFrame, width: in
         shingles = table["shingles"].combine_chunks()
         found = search_links(
             [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in order],
-            table["block"].to_numpy()[order], similarity)
+            table["block"].to_numpy()[order], similarity, every)
         ids = ids[order]
         return pa.table({"src": pa.array([ids[a] for a, _ in found], pa.int64()),
                          "dst": pa.array([ids[b] for _, b in found], pa.int64())})
 
-    return parts.groupBy("name", "low", "high").applyInArrow(run, "src bigint, dst bigint")
+    links = parts.groupBy("name", "low", "high").applyInArrow(run, "src bigint, dst bigint")
+    # A pair may meet in several groups.
+    return links.distinct() if every else links
 
 
 def _groups(sets: DataFrame, chosen: DataFrame, similarity: int, hot_rows: int) -> DataFrame:
@@ -222,13 +229,14 @@ def _blocked(groups: DataFrame, block_shingles: int) -> DataFrame:
 
 
 def search_links(sets: list[np.ndarray], block: np.ndarray,
-                 similarity: int = SIMILARITY) -> list[tuple[int, int]]:
+                 similarity: int = SIMILARITY, every: bool = False) -> list[tuple[int, int]]:
     """Links between the sets of two blocks, or within one, enough to connect all linked sets.
 
     Every set is looked up in the inverted lists of the sets after it. DivideSkip: the
     longest lists are set aside; the others are merged and counted, and only sets found often
     enough to still reach the overlap are probed for in the long lists, by binary search,
-    shortest list first. Sets that are connected already are not looked at again.
+    shortest list first. Sets that are connected already are not looked at again, unless ``every``
+    link is asked for.
     """
     two = len(np.unique(block)) > 1
     sizes = np.array([len(s) for s in sets])
@@ -255,7 +263,7 @@ def search_links(sets: list[np.ndarray], block: np.ndarray,
         found = np.concatenate([entries[ends[t] - lengths[t]:ends[t]] for t in merged])
         counts = np.bincount(found, minlength=len(sets))
         near = np.flatnonzero(counts >= least - aside)
-        near = near[(near > q) & (joined[near] != joined[q])]
+        near = near[(near > q) & (every | (joined[near] != joined[q]))]
         if two:
             near = near[block[near] != block[q]]
         count = counts[near]
@@ -271,7 +279,9 @@ def search_links(sets: list[np.ndarray], block: np.ndarray,
             at = np.minimum(np.searchsorted(held, near), len(held) - 1)
             count = count + (held[at] == near)
         for other in near[count >= wanted]:
-            if joined[other] != joined[q]:
+            if every:
+                links.append((q, int(other)))
+            elif joined[other] != joined[q]:
                 joined[joined == joined[other]] = joined[q]
                 links.append((q, int(other)))
     return links
