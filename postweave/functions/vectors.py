@@ -71,6 +71,13 @@ def hash_encoder() -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+def hashed_vector(token: Column) -> Column:
+    """The vector of ``hash_encoder`` for one token, as doubles."""
+    codes = F.sha2(token.cast("binary"), 256)
+    return F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMENSIONS - 1)), lambda i: (
+        F.conv(F.substring(codes, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5)
+
+
 def embed_tokens(df: DataFrame, encoder: Callable[[], Callable] = hash_encoder,
                  tokens: str = "token", output: str = "word_embeddings") -> DataFrame:
     """Add the vector of every token.

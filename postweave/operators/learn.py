@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postweave.functions.vectors import RANK_DECIMALS, not_zero
+from postweave.functions.vectors import RANK_DECIMALS, hashed_vector, norm, not_zero
 from postweave.operators.joins import HOT_ROWS, hot_keys, salted_join
 from postweave.operators.rows import row_index
 
@@ -34,6 +34,9 @@ KMEANS_SEED = 1
 WORD_DIMENSIONS = 32
 COMPONENTS = 3
 
+# Words that are trained at most: about 256 bytes of weights each on the driver, 77 MB in all.
+MOST_WORDS = 300_000
+
 # Centroids that are compared at a time: 1,000 x 768 doubles are 6 MiB.
 BLOCK_CENTROIDS = 1000
 
@@ -110,32 +113,56 @@ def score_edges(model: RandomForestClassificationModel, edges: DataFrame,
     return scored.drop("rawPrediction", "features")
 
 
+def least_count_within(tokens: DataFrame, column: str, least_count: int, most_words: int) -> int:
+    """The smallest number from ``least_count`` that at most ``most_words`` words occur as often as.
+
+    Words are counted by all tasks; what is collected are the different counts, of which ``n`` tokens
+    have at most ``sqrt(2 n)``.
+    """
+    counts = tokens.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias("rows"))
+    sizes = counts.filter(F.col("rows") >= least_count).groupBy("rows").agg(F.count("*").alias("words")).collect()
+    total = 0
+    for rows, words in sorted(sizes, reverse=True):
+        total += words
+        if total > most_words:
+            return rows + 1
+    return least_count
+
+
 def fit_word_vectors(tokens: DataFrame, column: str = "token", size: int = WORD_DIMENSIONS,
-                     least_count: int = 5, partitions: int | None = None) -> DataFrame:
+                     least_count: int = 5, partitions: int | None = None,
+                     most_words: int = MOST_WORDS) -> DataFrame:
     """``(word, vector)`` of a skip-gram model trained on token arrays, as vectors of float arrays.
 
-    Words with fewer than ``least_count`` occurrences have no vector: MLlib keeps the vocabulary on the
-    driver, so it should grow with the corpus. All cores train side by side unless ``partitions`` says
-    otherwise.
+    Words with fewer than ``least_count`` occurrences have no vector. MLlib keeps the vocabulary on the
+    driver: ``least_count`` is raised until it has no more than ``most_words`` words. All cores train
+    side by side unless ``partitions`` says otherwise.
     """
     parts = partitions or tokens.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(inputCol=column, vectorSize=size, minCount=least_count, seed=SEED,
+    least = least_count_within(tokens, column, least_count, most_words)
+    model = Word2Vec(inputCol=column, vectorSize=size, minCount=least, seed=SEED,
                      maxIter=1, numPartitions=parts).fit(tokens.select(column))
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
 
 
 def embed_by_table(posts: DataFrame, words: DataFrame, tokens: str = "token",
-                   output: str = "word_embeddings", size: int = WORD_DIMENSIONS) -> DataFrame:
+                   output: str = "word_embeddings", size: int = WORD_DIMENSIONS,
+                   hash_unknown: bool = False) -> DataFrame:
     """Add the vector of every token from a stored ``words(word, vector)`` table, zeros for unknown words.
 
-    Frequent words are spread over several tasks.
+    With ``hash_unknown`` these get the vector of ``hash_encoder`` instead, at the mean length of the
+    stored ones so that they do not outweigh them. Frequent words are spread over several tasks.
     """
     spelled = posts.select("id", F.posexplode(tokens).alias("position", "word"))
     hot = hot_keys(spelled, "word")
     found = salted_join(spelled, words, "word", "id", hot, "left")
-    zeros = F.array(*[F.lit(0.0).cast("float")] * size)
+    other = F.array(*[F.lit(0.0).cast("float")] * size)
+    if hash_unknown:
+        length = words.agg(F.avg(norm(F.col("vector")))).first()[0] or 1.0
+        codes = hashed_vector(F.coalesce("word", F.lit("")))
+        other = F.transform(codes, lambda x: (x * length / norm(codes)).cast("float"))
     vectors = found.groupBy("id").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("position", F.coalesce("vector", zeros).alias("vector")))),
+        F.sort_array(F.collect_list(F.struct("position", F.coalesce("vector", other).alias("vector")))),
         lambda x: x["vector"]).alias(output))
     empty = F.array().cast("array<array<float>>")
     return posts.join(vectors, "id", "left").withColumn(output, F.coalesce(output, empty))
