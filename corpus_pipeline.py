@@ -78,10 +78,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Remove documents with a passage of the benchmark."""
-    found = decontamination.decontaminate(docs, table(spark, folder, "benchmark"))
-    hit = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Remove documents with a passage of the benchmark; those without an id are searched by a number."""
+    items = table(spark, folder, "benchmark")
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        searched = rows.select(F.col(key).alias("doc_id"), "text")
+        found = decontamination.decontaminate(searched, items)
+        hit = found.filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
+        return rows.join(hit, key, "left_anti").select(*docs.columns)
+
+    kept = clean(docs.filter(F.col("doc_id").isNotNull()), "doc_id")
+    unnamed = decontamination.number_unnamed(docs)
+    return kept if unnamed.isEmpty() else kept.unionByName(clean(unnamed, "_row"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

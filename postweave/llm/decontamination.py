@@ -16,7 +16,8 @@ with A-Z lower-cased. A window is 10 consecutive words of an item; an item with
 at least one, is one window.
 
 Defined cases: a null text has no words; documents or items without words match nothing. Rows with
-a null id are not indexed and have no matches; items with a null id are ignored. Repeated rows of
+a null id are not indexed and have no matches in ``decontaminate``, and are searched by a number in
+``decontaminate_rows``; items with a null id are ignored. Repeated rows of
 a document are matched once and reported for each row; repeated items count once. Other columns are ignored, and empty tables
 give no matches.
 """
@@ -174,3 +175,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH,
         "doc_id", "n_words", n_hit.alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         (n_hit > 0).alias("contaminated"))
+
+
+def number_unnamed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a null id and their number ``_row``, stored."""
+    return materialize(docs.filter(F.col("doc_id").isNull()).withColumn(
+        "_row", F.monotonically_increasing_id()), "unnamed")
+
+
+def decontaminate_rows(docs: DataFrame, items: DataFrame, width: int = WIDTH,
+                       hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As ``decontaminate``, with rows that have a null id searched as well, each on its own."""
+    found = decontaminate(docs.filter(F.col("doc_id").isNotNull()), items, width, hot_rows)
+    unnamed = number_unnamed(docs.select("doc_id", "text"))
+    if unnamed.isEmpty():
+        return found
+    numbered = unnamed.select(F.col("_row").alias("doc_id"), "text")
+    others = decontaminate(numbered, items, width, hot_rows)
+    return found.unionByName(others.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))

@@ -98,7 +98,7 @@ def op8_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontamination.decontaminate(
+    found = decontamination.decontaminate_rows(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
