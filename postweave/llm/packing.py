@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postweave.llm.piece_encoding import codec, text_groups
+from postweave.llm.parts import binary_array
+from postweave.llm.piece_encoding import codec
 from postweave.storage import materialize
 
 # Ids of a row.
@@ -97,22 +98,18 @@ def segments(docs: DataFrame, path: str, row_tokens: int = ROW_TOKENS) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            for group in text_groups(batch.column(1)):
-                encoded, _ = codec(path, False).encode(group)
-                rows, parts, sizes, cut = [], [], [], []
-                for k, ids in enumerate(encoded):
-                    ids = np.frombuffer(ids, "<u4")
-                    for part, at in enumerate(range(0, len(ids), row_tokens)):
-                        piece = ids[at:at + row_tokens]
-                        rows.append(start + k)
-                        parts.append(part)
-                        sizes.append(len(piece))
-                        cut.append(piece.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())
-                start += len(group)
+            for first, end, ids, at, _, _, _ in codec(path, False).encode_arrays(batch.column(1)):
+                # Segments of each text, in order, and where they begin and end.
+                counts = -(-np.diff(at) // row_tokens)
+                rows = np.repeat(np.arange(end - first), counts)
+                part = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+                starts = at[rows] + part * row_tokens
+                sizes = np.minimum(at[rows + 1] - starts, row_tokens)
+                kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.int32()),
-                     pa.array(sizes, pa.int32()), pa.array(cut, pa.binary())],
+                    [batch.column(0).slice(first, end - first).take(pa.array(rows)),
+                     pa.array(part.astype(np.int32)), pa.array(sizes.astype(np.int32)),
+                     binary_array(ids.astype(kind), np.append(starts, at[-1]))],
                     names=["doc_id", "part", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _SEGMENTS)

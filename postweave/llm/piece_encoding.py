@@ -5,12 +5,13 @@ a piece, best score first and leftmost among equals; merging a pair puts its new
 the heap. What is no piece in the end is spelled in bytes.
 
 ``PieceCodec`` cuts a text where no piece can reach across, because none holds the two characters
-side by side: before blanks, and between words and marks. It remembers the ids of the parts,
-which repeat a lot. Every part that is met for the first time is also encoded by the sentencepiece library, a
-batch at a time, and ``agrees`` tells whether all parts of a text came out equal. If the
-vocabulary has pieces with inner blanks, texts are not cut.
+side by side: before blanks, and between words and marks. ``parts`` finds the distinct parts, which repeat a
+lot, and gathers their ids. Every part that is met for the first time is also encoded by the sentencepiece
+library, a batch at a time, and ``agrees`` tells whether all parts of a text came out equal. What the ids spell
+is compared with the text; one that differs is encoded again without looking parts up.
 
-Defined cases: a null text counts as empty, which is the begin and end id only. Repeated rows
+Defined cases: a null text counts as empty, which is the begin and end id only. A very long text is handled
+in slices of bounded size that end at a cut. Repeated rows
 give repeated result rows. The vocabulary's path is a parameter; it must be readable by every
 executor. Other columns pass through unchanged; an empty table gives an empty result.
 """
@@ -18,21 +19,19 @@ executor. Other columns pass through unchanged; an empty table gives an empty re
 from __future__ import annotations
 
 import heapq
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from postweave.llm.batches import text_chunks
+from postweave.llm.parts import (
+    REMEMBERED_PARTS, PartEncoder, Spelling, binary_array, different_texts, replaced)
+
 BLANK = "▁"
-# Parts of texts that a Python worker remembers: so many recent ones, and as many from before.
-REMEMBERED_PARTS = 150_000
-# Texts are encoded in groups of about this many characters.
-GROUP_CHARACTERS = 300_000
 
 
 class Agenda:
@@ -99,27 +98,29 @@ class Agenda:
         return ids
 
 
-def _cuts(pieces) -> tuple[str, str, str]:
-    """Patterns of coarse and fine parts, and the characters that forbid the fine ones.
+def _cut_table(pieces) -> np.ndarray:
+    """Where a text can be cut, by the bytes on both sides: where no piece holds both characters.
 
-    Two neighbours that no piece holds side by side can be parted: whatever stands before a
-    blank, a character of no longer piece, and letters or digits next to marks.
+    Blanks count as the byte of a space. Neighbouring letters and digits are left together; a cut between them
+    would be right, but make more parts.
     """
-    beside = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
-    if any(a != BLANK and b == BLANK for a, b in beside):
-        return "[\\s\\S]+", "[\\s\\S]+", ""
-    alone = "".join(c for c in "\n\r\t" if not any(c in pair for pair in beside))
-    rest, single = f"[^{BLANK}{alone}]", f"|[{alone}]" if alone else ""
-    word, mark = "[^\\W_]+", f"(?:[^\\w{BLANK}{alone}]|_)+"
-    is_word = re.compile(word).match
-    joining = {c for pair in beside if BLANK not in pair and bool(is_word(pair[0])) != bool(
-        is_word(pair[1])) for c in pair if is_word(c)}
-    return (f"{BLANK}+{rest}*|{rest}+{single}",
-            f"{BLANK}+(?:{word}|{mark})?|{word}|{mark}{single}", "".join(sorted(joining)))
+    spaced = [p.replace(BLANK, " ") for p in pieces]
+    beside = {p[i:i + 2] for p in spaced for i in range(len(p) - 1)}
+    # What stands beside characters beyond ASCII, on their left and on their right.
+    left = {a for a, b in beside if b >= "\x80"}
+    right = {b for a, b in beside if a >= "\x80"}
+    table = np.zeros((256, 256), bool)
+    for a in range(128):
+        table[a, 0xC0:] = chr(a) not in left and not chr(a).isalnum()
+        table[0x80:0xC0, a] = chr(a) not in right and not chr(a).isalnum()
+        for b in range(128):
+            table[a, b] = (chr(a) + chr(b) not in beside
+                           and not (chr(a).isalnum() and chr(b).isalnum()))
+    return table
 
 
 class PieceCodec:
-    """Encoder and decoder for one vocabulary; ids are bytes of unsigned 32-bit numbers."""
+    """Encoder and decoder for one vocabulary; ids are little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str, by_agenda: bool = True):
         import sentencepiece
@@ -127,69 +128,88 @@ class PieceCodec:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.agenda = Agenda(self.library)
         self.by_agenda = by_agenda
-        self.begin = np.array([self.library.bos_id()], "<u4").tobytes()
-        self.end = np.array([self.library.eos_id()], "<u4").tobytes()
+        self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         if self.library.normalize(" a  b ") != f"{BLANK}{BLANK}a{BLANK}{BLANK}b{BLANK}":
             raise ValueError("only vocabularies that keep white space are supported")
-        coarse, fine, joining = _cuts(self.agenda.pieces)
-        self.coarse, self.fine = re.compile(coarse), re.compile(fine)
-        self.joining = re.compile(f"[{re.escape(joining)}]" if joining else "(?!)")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.wrong: set[str] = set()
+        self.parts = PartEncoder(_cut_table(self.agenda.pieces), self._encode_parts, remembered=REMEMBERED_PARTS)
+        # The library puts a blank in front of its input; the part after this mark is what counts.
+        self.lead = len(self.library.encode("\n"))
         # What each id stands for; control ids stand for nothing.
-        self.spelling = []
+        spelling = []
         for i in range(self.library.vocab_size()):
             piece = self.library.id_to_piece(i)
             if self.library.is_byte(i):
-                self.spelling.append(bytes([int(piece[1:-1], 16)]))
+                spelling.append(bytes([int(piece[1:-1], 16)]))
             elif self.library.is_control(i):
-                self.spelling.append(b"")
+                spelling.append(b"")
             elif self.library.is_unknown(i):
-                self.spelling.append(" ⁇ ".encode())
+                spelling.append(" ⁇ ".encode())
             else:
-                self.spelling.append(piece.replace(BLANK, " ").encode())
-
-    def _learn(self, parts: set[str]) -> None:
-        """Encode parts that are met for the first time, by agenda and by the library."""
-        new = list(parts)
-        # The library puts a blank in front of its input; the part after it is what counts.
-        lead = len(self.library.encode("\n")) - 1
-        theirs = self.library.encode(["\n" + p for p in new], num_threads=1)
-        for part, ids in zip(new, theirs):
-            expected = ids[lead + 1:]
-            found = self.agenda.encode(part) if self.by_agenda else expected
-            self.known[part] = array("I", found).tobytes()
-            if found != expected:
-                self.wrong.add(part)
-
-    def parts(self, text: str) -> list[str]:
-        """The parts of a text that are encoded on their own."""
-        if not text:
-            return []
-        cut = self.coarse if self.joining.search(text) else self.fine
-        return cut.findall(BLANK + text.replace(" ", BLANK))
+                spelling.append(piece.replace(BLANK, " ").encode())
+        self.spelling = Spelling(spelling)
+
+    @property
+    def known(self):
+        return self.parts.known
+
+    @property
+    def older(self):
+        return self.parts.older
+
+    def _encode_parts(self, parts: list[bytes]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of parts that are met for the first time, by agenda and by the library."""
+        texts = [part.decode() for part in parts]
+        expected = [ids[self.lead:] for ids in self.library.encode(["\n" + t for t in texts], num_threads=1)]
+        if not self.by_agenda:
+            return expected, [True] * len(parts)
+        found = [self.agenda.encode(t.replace(" ", BLANK)) for t in texts]
+        return found, [a == b for a, b in zip(found, expected)]
+
+    def encode_arrays(self, column: pa.Array) -> Iterator[tuple]:
+        """Slices of a column of texts, as ``(first row, end row, ids, offsets, agrees, spelled, offsets)``.
+
+        Ids have the begin and end id; ``agrees`` is whether they are the library's. ``spelled`` are the bytes that
+        the ids stand for, without the blank in front of a text.
+        """
+        column = pc.replace_substring(column, BLANK, " ")
+        for first, end, data, offsets in text_chunks(column):
+            # A blank goes in front of every text that is not empty.
+            filled = np.diff(offsets) > 0
+            data = np.insert(data, offsets[:-1][filled], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+            ids, at, agrees = self.parts.encode(data, offsets)
+            spelled, sizes = self.spelling.spell(ids)
+            spelled_at = np.concatenate([[0], np.cumsum(sizes)])[at]
+            new = {i: self.parts.encode_plainly(data[offsets[i]:offsets[i + 1]].tobytes())
+                   for i in different_texts(data, offsets, spelled, spelled_at)}
+            if new:
+                ids, at = replaced(ids, at, new)
+                spelled, sizes = self.spelling.spell(ids)
+                spelled_at = np.concatenate([[0], np.cumsum(sizes)])[at]
+            # Room for the begin and end ids.
+            texts = np.arange(len(at))
+            whole = np.empty(len(ids) + 2 * (len(at) - 1), "<u4")
+            inner = np.ones(len(whole), bool)
+            at = at + 2 * texts
+            inner[at[:-1]] = inner[at[1:] - 1] = False
+            whole[inner] = ids
+            whole[at[:-1]], whole[at[1:] - 1] = self.begin, self.end
+            leading = spelled_at[:-1][filled]
+            leading = leading[spelled[leading] == 32]
+            spelled = np.delete(spelled, leading)
+            yield first, end, whole, at, agrees, spelled, spelled_at - np.searchsorted(leading, spelled_at)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text, and whether they are the library's."""
-        split = [self.parts(t) for t in texts]
-        if len(self.known) > REMEMBERED_PARTS:
-            # What is not met again until the next change is forgotten.
-            self.known, self.older = {}, self.known
-            self.wrong &= self.older.keys()
-        known, older = self.known, self.older
-        new = set(chain.from_iterable(split)) - known.keys()
-        met = new & older.keys()
-        known.update((p, older[p]) for p in met)
-        if len(new) > len(met):
-            self._learn(new - met)
-        ids = [self.begin + b"".join(map(known.__getitem__, parts)) + self.end for parts in split]
-        agrees = [not (self.wrong and any(p in self.wrong for p in parts)) for parts in split]
-        return ids, agrees
+        found, right = [], []
+        for _, _, ids, at, agrees, _, _ in self.encode_arrays(pa.array(texts, pa.large_string())):
+            found += [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            right += agrees.tolist()
+        return found, right
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids; a blank in front of it is dropped."""
-        spelled = b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        spelled = self.spelling.spell(np.frombuffer(ids, "<u4"))[0].tobytes()
         return (spelled[1:] if spelled.startswith(b" ") else spelled).decode("utf-8", "replace")
 
 
@@ -199,20 +219,6 @@ def codec(path: str, by_agenda: bool = True) -> PieceCodec:
     return PieceCodec(path, by_agenda)
 
 
-def text_groups(column: pa.Array, most: int = GROUP_CHARACTERS) -> Iterator[list[str]]:
-    """Consecutive texts, null as empty, in groups of bounded size (or a single longer text)."""
-    group, size = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        group.append(text)
-        size += len(text)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", by_agenda: bool = True) -> DataFrame:
     """Add ``ids`` (little-endian unsigned 32-bit numbers with begin and end) and ``agrees``.
 
@@ -223,10 +229,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", by_agenda: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, ids, agrees in _encoded(batch, text, codec(path, by_agenda)):
+            column = batch.column(batch.schema.get_field_index(text))
+            for first, end, ids, at, agrees, _, _ in codec(path, by_agenda).encode_arrays(column):
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.binary()), pa.array(agrees)],
-                    names=[*part.schema.names, "ids", "agrees"])
+                    [*batch.slice(first, end - first).columns, binary_array(ids, at), pa.array(agrees)],
+                    names=[*batch.schema.names, "ids", "agrees"])
 
     return docs.mapInArrow(run, schema)
 
@@ -240,29 +247,31 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, ids, agrees in _encoded(batch, text, codec(path)):
-                decoded = [codec(path).decode(x) for x in ids]
+            column = batch.column(batch.schema.get_field_index(text))
+            for first, end, ids, at, agrees, spelled, spelled_at in codec(path).encode_arrays(column):
+                part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(n)) for n in names),
-                     pa.array(ids, pa.binary()), pa.array(agrees), pa.array(decoded, pa.string())],
+                    [*(part.column(part.schema.get_field_index(n)) for n in names), binary_array(ids, at),
+                     pa.array(agrees), decoded_array(spelled, spelled_at)],
                     names=[*names, "ids", "agrees", "decoded"])
 
     return docs.mapInArrow(run, schema)
 
 
-def _encoded(batch: pa.RecordBatch, text: str, by: PieceCodec) -> Iterator[tuple]:
-    """Slices of a batch with the ids of their texts."""
-    start = 0
-    for group in text_groups(batch.column(batch.schema.get_field_index(text))):
-        ids, agrees = by.encode(group)
-        yield batch.slice(start, len(group)), ids, agrees
-        start += len(group)
+def decoded_array(spelled: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A column of texts; bytes that are no UTF-8 are replaced as the library does."""
+    try:
+        pa.py_buffer(np.ascontiguousarray(spelled)).to_pybytes().decode()
+    except UnicodeDecodeError:
+        return pa.array([spelled[a:b].tobytes().decode("utf-8", "replace")
+                         for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+    return binary_array(spelled, offsets, pa.string())
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded``, the text of the column ``ids``; null ids give a null text."""
     encoded = encoded.drop("decoded")
-    schema = encoded.select("*", F.lit("").alias("decoded")).schema
+    schema = encoded.select("*", F.lit(None).cast("string").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postweave.llm import (
-    decontamination, language, line_dedup, line_quality, ngram_join, packing, personal_data,
+    byte_encoding, decontamination, language, line_dedup, line_quality, ngram_join, packing, personal_data,
     piece_encoding, sharding, url_lists)
 from postweave.sources.derive import table
 
@@ -109,6 +109,16 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 
 
+def op13_byte_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    return byte_encoding.round_trip(docs, path, public_tokenizers.PATTERN).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_personal_data": op2_personal_data,
@@ -120,4 +130,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_join": op10_ngram_join,
+    "op13_byte_encoding": op13_byte_encoding,
 }
