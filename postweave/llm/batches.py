@@ -93,6 +93,19 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed(sums + (ends - starts).astype(np.uint64) * np.uint64(_FACTOR))
 
 
+def sliced_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``range_hashes`` of ranges in ascending order, a slice of ``data`` at a time to bound memory."""
+    if len(data) <= 2 * CHUNK_BYTES:
+        return range_hashes(data, starts, ends)
+    found, at = [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK_BYTES)))
+        first = starts[at]
+        found.append(range_hashes(data[first:ends[end - 1]], starts[at:end] - first, ends[at:end] - first))
+        at = end
+    return np.concatenate(found)
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` neighbours."""
     size = max(0, len(hashes) - width + 1)

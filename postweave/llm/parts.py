@@ -27,7 +27,12 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     sizes = sizes.astype(np.int64, copy=False)
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+    if total <= 4 * CHUNK_BYTES or len(sizes) < 2:
+        return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+    # A slice at a time, to bound the memory of the places.
+    at = np.searchsorted(ends, np.arange(0, total, 2 * CHUNK_BYTES))
+    cuts = [0, *dict.fromkeys(at[at > 0].tolist()), len(sizes)]
+    return np.concatenate([gathered(flat, starts[a:b], sizes[a:b]) for a, b in zip(cuts, cuts[1:])])
 
 
 class Remembered:

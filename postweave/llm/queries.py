@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postweave.llm import (
-    byte_encoding, decontamination, language, line_dedup, line_quality, ngram_join, packing, personal_data,
-    piece_encoding, sharding, url_lists)
+    byte_encoding, decontamination, language, line_dedup, line_quality, ngram_join, packing,
+    periodic_runs, personal_data, piece_encoding, sharding, url_lists)
 from postweave.sources.derive import table
 
 
@@ -109,6 +109,43 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: in every tenth document by checksum, the words from some place on repeat."""
+    space = "[\\x20\\x09-\\x0D]+"
+    planted = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", space), lambda w: w != "")))
+    # One operand per row, so that no word list is made twice.
+    counted = planted.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    sized = counted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    sized = sized.withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    rest = (F.col("n") - F.col("a")).cast("int")
+    block = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    repeated = F.slice(F.flatten(F.array_repeat(block, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), repeated), " ")
+    return sized.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_rows(docs: DataFrame) -> DataFrame:
+    """Runs of every document after periods were planted, as counts and digests."""
+    found = periodic_runs.collapse_runs(with_planted_periods(docs))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+        r["period"].cast("string"), F.lit("\n"))), "")
+    chosen = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return chosen.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_rows(table(spark, folder, "documents"))
+
+
 def op13_byte_encoding(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -130,5 +167,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_join": op10_ngram_join,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_encoding": op13_byte_encoding,
 }
