@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postweave.llm import (
-    byte_encoding, decontamination, language, line_dedup, line_quality, ngram_join, packing,
-    periodic_runs, personal_data, piece_encoding, sharding, url_lists)
+    byte_encoding, conversation_repair, decontamination, language, line_dedup, line_quality, ngram_join,
+    packing, periodic_runs, personal_data, piece_encoding, sharding, url_lists)
 from postweave.sources.derive import table
 
 
@@ -109,6 +109,24 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
 
 
+def damaged_rows(rows: DataFrame) -> DataFrame:
+    """Rows of conversations with one in four damaged, by checksum; dropped rows are not ``present``."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"),
+                   F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    fate = F.crc32(key) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    return rows.select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), (fate != 0).alias("present"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fate == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = damaged_rows(table(spark, folder, "conversations"))
+    return conversation_repair.summaries(conversation_repair.repair(rows)).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)``: in every tenth document by checksum, the words from some place on repeat."""
     space = "[\\x20\\x09-\\x0D]+"
@@ -167,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_encoding": op13_byte_encoding,
 }
