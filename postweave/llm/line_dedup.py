@@ -12,7 +12,8 @@
 Everything is built-in functions. Defined cases: a null or empty text is one empty line; lines
 with an empty key are always kept; lines end at a line feed only. Repeated rows of a document
 count as one document and are all rebuilt. Documents with a null id are kept as they are and
-their lines are not counted. Other columns pass through unchanged.
+their lines are not counted. Other columns pass through unchanged. The rows of a very long text are spread like
+any others, and it is put together again in one pass over its lines.
 """
 
 from __future__ import annotations
@@ -101,14 +102,24 @@ def drop_bitmaps(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS,
         F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
 
 
-def kept_text(text: Column, bitmap: Column) -> Column:
-    """The lines of ``text`` that ``bitmap`` does not drop."""
-    lines = split_lines(text)
-    bits = F.sequence(F.lit(0), F.lit(WORD - 1))
-    dropped = F.flatten(F.transform(bitmap, lambda x: F.transform(
-        F.filter(bits, lambda b: F.getbit(x["bits"], b) == 1), lambda b: x["word"] * WORD + b)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+def dense_words(bitmap: Column) -> Column:
+    """The words of a bitmap up to its last one, as an array without gaps."""
+    words = F.transform(bitmap, lambda x: x["word"])
+    before = F.concat(F.array(F.lit(-1)), F.slice(words, F.lit(1), F.size(words) - 1))
+    return F.flatten(F.zip_with(bitmap, before, lambda x, last: F.concat(
+        F.array_repeat(F.lit(0).cast("bigint"), x["word"] - last - 1), F.array(x["bits"]))))
+
+
+def kept_text(text: Column, words: Column) -> Column:
+    """The lines of ``text`` that the bits of ``words`` do not drop, in one pass over them.
+
+    ``words`` is looked at for every line, so it should be a column and no expression.
+    """
+    def stays(_: Column, i: Column) -> Column:
+        bit = F.getbit(F.get(words, F.floor(i / WORD).cast("int")), i % WORD)
+        return F.coalesce(bit, F.lit(0)) == 0
+
+    return F.array_join(F.filter(split_lines(text), stays), "\n")
 
 
 def dedup_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS,
@@ -118,8 +129,8 @@ def dedup_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS,
     A null text becomes empty. Columns named like the added ones are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped", "_dropped", "_bitmap")
-    bitmaps = drop_bitmaps(docs, least_documents, keep_first, hot_rows).withColumnsRenamed(
-        {"n_dropped": "_dropped", "bitmap": "_bitmap"})
+    bitmaps = drop_bitmaps(docs, least_documents, keep_first, hot_rows).select(
+        "doc_id", F.col("n_dropped").alias("_dropped"), dense_words(F.col("bitmap")).alias("_bitmap"))
     text = F.coalesce("text", F.lit(""))
     return docs.join(bitmaps, "doc_id", "left").withColumns({
         "n_lines": F.size(split_lines(F.col("text"))).cast("bigint"),

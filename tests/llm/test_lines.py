@@ -89,3 +89,15 @@ def test_clean_lines_removes_frequent_ones(spark):
 @pytest.mark.parametrize("name", ["op1_line_quality", "op4_line_dedup"])
 def test_queries_equal_sql(spark, name):
     assert difference(queries.QUERIES[name](spark, SMALL), database(SMALL).execute(oracles.ORACLES[name])) == ""
+
+
+def test_long_document_is_rebuilt_in_time(spark):
+    import time
+
+    lines = [f"own line {i}" if i % 3 else f"Shared {i % 7}" for i in range(200_000)]
+    docs = documents(spark, ["\n".join(lines)] + ["\n".join(f"shared {i}" for i in range(7))] * 3)
+    start = time.time()
+    found = by_id(line_dedup.dedup_lines(docs, 4))
+    assert time.time() - start < 60
+    assert found[0]["text"] == "\n".join(x for x in lines if not x.startswith("Shared"))
+    assert found[0]["n_lines"] == 200_000 and found[1]["text"] == ""
