@@ -35,6 +35,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+# The same for texts of any length: all starts within one run of characters share what follows the run, so only
+# the first one is tried, and what was read is not given back.
+_RUN = re.compile(r"[A-Za-z0-9._%+-]++(@?)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 
 # Kinds that only the field finds.
 SECRET = "secret"
@@ -67,15 +72,27 @@ def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of ``EMAIL``: from each run that an at sign ends, or what an earlier match left of it."""
+    done = 0
+    for run in _RUN.finditer(text):
+        first = max(run.start(), done)
+        if run[1] and first < run.end() - 1:
+            domain = _DOMAIN.match(text, run.end())
+            if domain:
+                done = domain.end()
+                yield first, done
+
+
 def pattern_spans(text: str | None, strict: bool = True) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` by start and kind; without ``strict``, cards need no checksum."""
     found = []
     if not text:
         return found
     if "@" in text:
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        found += [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if _valid_ip(m[0])]
+        found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if _valid_ip(m[0])]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = _digits(m[0])

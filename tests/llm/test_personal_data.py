@@ -106,3 +106,34 @@ def test_weak_labels_from_documents(spark):
     assert len(lines) == 3 and ("a 10.0.0.1 b", [("ip", 2, 10)]) in lines
     nothing = P.train(P.weak_labels(documents(spark, ["plain", None]), 10, 3))
     assert list(P.field_spans(pa.array(["1.2.3.4"]), nothing)) == [[]]
+
+
+def by_the_patterns(text):
+    """The base spans by the patterns as they are stated."""
+    found = [("email", *m.span()) for m in P.EMAIL.finditer(text)]
+    found += [("ip", *m.span()) for m in P.IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, least, most in (("card", P.CARD, 14, 19), ("phone", P.PHONE, 10, 15)):
+        for m in pattern.finditer(text):
+            digits = "".join(c for c in m[0] if c in "0123456789")
+            if least <= len(digits) <= most and (kind == "phone" or P._luhn(digits)):
+                found.append((kind, *m.span()))
+    return P.written(found)
+
+
+@pytest.mark.parametrize("letters", ["0123456789._@a+-( ", "a.@_-", "01.", "0 -+()", "ab@. \n0é"])
+def test_spans_equal_the_patterns_on_random_texts(letters):
+    rng = random.Random(letters)
+    for _ in range(6000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(45)))
+        assert P.written(P.pattern_spans(text)) == by_the_patterns(text), text
+
+
+@pytest.mark.parametrize("text", [
+    "1" * 10 ** 6, "a" * 10 ** 6, "." * 10 ** 6, "a." * 500_000, "1." * 500_000, "@" * 10 ** 6, "a@" * 500_000,
+    "1.2.3 " * 150_000, "+1(" * 300_000, "+1" + "(" * 10 ** 6, "a" * 500_000 + "@" + "b" * 500_000, "a@b.c_" * 150_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    start = time.time()
+    P.pattern_spans(text + "@+1")
+    assert time.time() - start < 5
