@@ -20,7 +20,8 @@ group:
 6. *Components* of the links, handed back to the members of the classes.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is its own
-component. A text of fewer than five words is one shingle. Repeated rows give repeated result
+component. A text of fewer than five words is one shingle. A very long text is handled alone; its set takes 8 bytes a
+shingle. Repeated rows give repeated result
 rows. Rows without an id take part in no group and keep a null component. All columns but
 ``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
 """
@@ -28,7 +29,10 @@ rows. Rows without an id take part in no group and keep a null component. All co
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +51,6 @@ WIDTH = 5
 SIMILARITY = 80
 # One more shingle for so many is expected to be shared within the prefixes.
 SHARED_OF = 16
-# Lists are named by so many bits of a shingle. Two shingles that fall together only make the
-# lists longer: the search compares whole shingles.
-LIST_BITS = 48
 # Shingles of one block of a group: 8 bytes each, held several times by a task.
 BLOCK_SHINGLES = 500_000
 # DivideSkip: the more a probe costs against a merged entry, the fewer lists are set aside.
@@ -105,7 +106,7 @@ def set_table(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY)
                 sizes.append(n)
                 classes.append(_class_of(shingles))
                 prefix = shingles[:n - least_overlap(n, similarity) + shared_at_least(n)]
-                prefixes.append(prefix >> np.uint64(64 - LIST_BITS))
+                prefixes.append(prefix)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), binary_column(classes),
                  list_column(prefixes)], names=["doc_id", "n_shingles", "class", "prefix"])
@@ -228,60 +229,145 @@ def _blocked(groups: DataFrame, block_shingles: int) -> DataFrame:
     )
 
 
+class _Components:
+    """Sets that are connected so far, by union-find."""
+
+    def __init__(self, size: int):
+        self.above = list(range(size))
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self.root(y)] = self.root(x)
+
+
+def merge_lists(entries: list[int], first: list[int], ends: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """``(entry, count)`` of the entries that at least ``least`` of some ascending lists hold.
+
+    List ``j`` is ``entries[first[j]:ends[j]]``. A heap holds the next entry of each list; if the smallest is in too few,
+    ``least - 1`` lists are taken off and skip by binary search to the entry that is then on top.
+    """
+    lists = len(first)
+    at = list(first)
+    heap = [entries[a] * lists + j for j, a in enumerate(at) if a < ends[j]]
+    heapify(heap)
+    while len(heap) >= least:
+        top = heap[0] // lists
+        taken = []
+        while heap and heap[0] // lists == top:
+            taken.append(heappop(heap) % lists)
+        if len(taken) >= least:
+            yield top, len(taken)
+            for j in taken:
+                at[j] += 1
+        else:
+            while len(taken) < least - 1 and heap:
+                taken.append(heappop(heap) % lists)
+            if not heap:
+                return
+            top = heap[0] // lists
+            for j in taken:
+                at[j] = bisect_left(entries, top, at[j], ends[j])
+        for j in taken:
+            if at[j] < ends[j]:
+                heappush(heap, entries[at[j]] * lists + j)
+
+
 def search_links(sets: list[np.ndarray], block: np.ndarray,
                  similarity: int = SIMILARITY, every: bool = False) -> list[tuple[int, int]]:
     """Links between the sets of two blocks, or within one, enough to connect all linked sets.
 
-    Every set is looked up in the inverted lists of the sets after it. DivideSkip: the
-    longest lists are set aside; the others are merged and counted, and only sets found often
-    enough to still reach the overlap are probed for in the long lists, by binary search,
-    shortest list first. Sets that are connected already are not looked at again, unless ``every``
-    link is asked for.
+    Every set is looked up in the inverted lists of the sets after it, or of the second block. DivideSkip: the longest
+    lists are set aside; the others are merged by a heap, and only sets found often enough to still reach the
+    overlap are probed for in the long lists, by binary search, shortest list first.
+
+    Unless ``every`` link is asked for, sets that are connected already are not looked at again: a list
+    whose sets are all connected is of no use to any of them, which a place in the list remembers up to which
+    all are, and a set with too few other lists is done.
     """
     two = len(np.unique(block)) > 1
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, token = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64),
                          return_inverse=True)
-    # Lists hold the numbers of their sets in ascending order.
-    order = np.argsort(token, kind="stable")
-    lengths = np.bincount(token)
-    ends = np.cumsum(lengths)
-    entries = owner[order]
     starts = np.cumsum(sizes) - sizes
-    joined, links = np.arange(len(sets)), []
-    for q, n in enumerate(sizes):
-        own = token[starts[q]:starts[q] + n]
-        own = own[lengths[own] > 1]
-        least = least_overlap(int(n), similarity)
-        if len(own) < least:
-            continue
-        own = own[np.argsort(lengths[own], kind="stable")]
-        aside = int(least / (PROBE_COST * math.log2(lengths[own[-1]] + 1) + 1)) - 1
-        aside = min(max(aside, 0), least - 1)
-        merged, probed = own[:len(own) - aside], own[len(own) - aside:]
-        found = np.concatenate([entries[ends[t] - lengths[t]:ends[t]] for t in merged])
-        counts = np.bincount(found, minlength=len(sets))
-        near = np.flatnonzero(counts >= least - aside)
-        near = near[(near > q) & (every | (joined[near] != joined[q]))]
-        if two:
-            near = near[block[near] != block[q]]
-        count = counts[near]
-        total = 100 + similarity
-        wanted = -(-similarity * (n + sizes[near]) // total)
+    # Lists hold the numbers of their sets in ascending order; of two blocks only the second is listed.
+    low = int(block.min()) if len(block) else 0
+    listed = block != low if two else np.ones(len(sets), bool)
+    inside = np.flatnonzero(listed[owner])
+    order = inside[np.argsort(token[inside], kind="stable")]
+    lengths = np.bincount(token[order], minlength=int(token.max()) + 1 if len(token) else 0)
+    list_ends = np.cumsum(lengths)
+    entries = owner[order].tolist()
+    places = np.asarray(entries)
+    known = (list_ends - lengths).tolist()
+    components, links = _Components(len(sets)), []
+    enough = 1 if two else 2
+
+    def all_connected(lists: np.ndarray, q: int) -> np.ndarray:
+        """Which lists hold only sets that are connected with ``q``."""
+        root, found = components.root, []
+        own = root(q)
+        for t, start, end in zip(lists.tolist(), (list_ends - lengths)[lists].tolist(), list_ends[lists].tolist()):
+            common = root(entries[start])
+            at = known[t]
+            while at < end and root(entries[at]) == common:
+                at += 1
+            known[t] = at
+            found.append(at == end and common == own)
+        return np.array(found, bool)
+
+    def verified(q: int, found: list[tuple[int, int]], probed: np.ndarray) -> list[int]:
+        """Which of the sets found in the short lists reach the overlap."""
+        near, count = np.array(found).T
+        wanted = -(-similarity * (sizes[q] + sizes[near]) // (100 + similarity))
         for left, t in zip(range(len(probed), 0, -1), probed):
             # What is still missing must not exceed the lists that are left.
             alive = count + left >= wanted
             near, count, wanted = near[alive], count[alive], wanted[alive]
             if not len(near):
                 break
-            held = entries[ends[t] - lengths[t]:ends[t]]
+            held = places[list_ends[t] - lengths[t]:list_ends[t]]
             at = np.minimum(np.searchsorted(held, near), len(held) - 1)
             count = count + (held[at] == near)
-        for other in near[count >= wanted]:
-            if every:
-                links.append((q, int(other)))
-            elif joined[other] != joined[q]:
-                joined[joined == joined[other]] = joined[q]
-                links.append((q, int(other)))
+        return near[count >= wanted].tolist()
+
+    for q, n in enumerate(sizes.tolist()):
+        if two and listed[q]:
+            continue
+        own = token[starts[q]:starts[q] + n]
+        own = own[lengths[own] >= enough]
+        least = least_overlap(n, similarity)
+        if len(own) < least:
+            continue
+        if not every:
+            own = own[~all_connected(own, q)]
+            if len(own) < least:
+                continue
+        own = own[np.argsort(lengths[own], kind="stable")]
+        aside = int(least / (PROBE_COST * math.log2(lengths[own[-1]] + 1) + 1)) - 1
+        aside = min(max(aside, 0), least - 1)
+        merged, probed = own[:len(own) - aside], own[len(own) - aside:]
+        ends = list_ends[merged].tolist()
+        first = (list_ends - lengths)[merged].tolist()
+        if not two:
+            first = [bisect_right(entries, q, a, b) for a, b in zip(first, ends)]
+        # Found sets are verified a few at a time, as a link may make the rest of the search needless.
+        candidates = merge_lists(entries, first, ends, least - aside)
+        size = 1
+        while batch := list(islice(candidates, size)):
+            size *= 2
+            mine = components.root(q)
+            fresh = [x for x in batch if every or components.root(x[0]) != mine]
+            linked = verified(q, fresh, probed) if fresh else []
+            for other in linked:
+                if every or components.root(other) != components.root(q):
+                    components.join(q, other)
+                    links.append((min(q, other), max(q, other)))
+            if linked and not every and int((~all_connected(own, q)).sum()) < least:
+                break
     return links

@@ -97,3 +97,35 @@ def test_short_text_is_no_part_of_a_longer_one():
 def test_query_equals_sql(spark):
     frame = queries.op10_ngram_join(spark, SMALL)
     assert difference(frame, database(SMALL).execute(oracles.ORACLES["op10_ngram_join"])) == ""
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_large_groups_of_near_copies_take_little_more_than_linear_time(blocks):
+    import time
+
+    rng = np.random.default_rng(1)
+    base, seconds = np.sort(rng.integers(0, 1 << 62, 41, dtype=np.uint64)), []
+    for size in (3000, 12_000):
+        sets = []
+        for _ in range(size):
+            own = base.copy()
+            own[rng.integers(0, 41, 2)] = rng.integers(0, 1 << 62, 2, dtype=np.uint64)
+            sets.append(np.unique(own))
+        start = time.time()
+        found = J.search_links(sets, np.arange(size) % blocks)
+        seconds.append(time.time() - start)
+        assert len(found) == size - 1
+    # Four times the sets would take sixteen times as long if all pairs were looked at.
+    assert seconds[1] < 10 * seconds[0] + 2
+
+
+def test_heap_merge_equals_counting():
+    rng = random.Random(9)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(rng.randrange(1, 12))]
+        entries = [x for held in lists for x in held]
+        ends = list(np.cumsum([len(x) for x in lists]))
+        least = rng.randrange(1, len(lists) + 1)
+        found = list(J.merge_lists(entries, [e - len(x) for e, x in zip(ends, lists)], ends, least))
+        counted = [(v, sum(v in x for x in lists)) for v in range(60)]
+        assert found == [c for c in counted if c[1] >= least]
