@@ -9,7 +9,7 @@ wins; ties go to the first name.
 Profiles are learned from a bounded sample of labelled documents per language
 (``SAMPLE_PER_LANGUAGE``, the smallest hashes of the ids), so they fit every task. Whole texts
 are read both for learning and for predicting; ``lang``, ``source`` and ``doc_id`` take no
-part in a prediction.
+part in a prediction. A very long text is handled alone, with some 100 bytes of memory a character.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so is every text
 if nothing could be learned. Rows with a null ``lang`` or text are not learned from. Repeated
@@ -27,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postweave.llm.batches import text_chunks
+from postweave.llm.columns import broadcast_if_small
+from postweave.storage import materialize
 
 # Places of a profile, and of a document's own ranking.
 PLACES = 400
 # Labelled documents per language that a profile is learned from.
 SAMPLE_PER_LANGUAGE = 1000
+# Of large languages so many times the sample are ranked.
+SPARE = 3
 UNDETERMINED = "und"
 # Small enough for the arrays of a chunk to stay in a core's cache.
 CHUNK_BYTES = 100_000
@@ -163,6 +167,33 @@ class Profiles:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
+def smallest_hashes(rows: DataFrame, per_language: int) -> DataFrame:
+    """The distinct ``(doc_id, lang)`` with the ``per_language`` smallest hashes of each language, stored.
+
+    Languages are counted first; of one with many documents only hashes below a bound, which about ``SPARE`` times as many
+    as wanted have, are ranked. So a language's task gets a few thousand ids, however many tasks read them. If the bound
+    leaves too few after all, all of them are ranked.
+    """
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    share = F.lit(float(SPARE * per_language)) / F.col("rows")
+    hashed = rows.withColumn("hash", F.xxhash64("doc_id"))
+    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id")
+
+    def ranked(of: DataFrame) -> DataFrame:
+        return materialize(of.select("doc_id", "lang", "hash").distinct().withColumn(
+            "place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language).select(
+            "doc_id", "lang"), "sample")
+
+    # Hashes are spread evenly over all 64-bit numbers.
+    bounded = hashed.join(broadcast_if_small(counts), "lang").filter(
+        (share >= 1) | (F.col("hash").cast("double") < share * 2.0 ** 64 - 2.0 ** 63))
+    found = ranked(bounded)
+    left = found.groupBy("lang").agg(F.count("*").alias("found"))
+    short = counts.join(left, "lang", "left").filter(
+        (F.col("rows") > SPARE * per_language) & (F.coalesce("found", F.lit(0)) < per_language))
+    return found if short.isEmpty() else ranked(hashed)
+
+
 def learn_profiles(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
                    places: int = PLACES) -> Profiles:
     """Profiles from ``labelled(doc_id, text, lang)``: rows to learn from only.
@@ -171,12 +202,9 @@ def learn_profiles(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
     that is among the most frequent ones comes to the driver.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The rank limit keeps no more than ``per_language`` rows of each task.
-    sample = usable.select("doc_id", "lang").withColumn(
-        "place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language)
+    sample = smallest_hashes(usable.select("doc_id", "lang"), per_language)
     chosen = usable.select("doc_id", "lang", "text").join(
-        F.broadcast(sample.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+        broadcast_if_small(sample), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

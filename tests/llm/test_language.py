@@ -86,3 +86,20 @@ def test_held_out_accuracy(spark):
         assert r["held_out"] == (binascii.crc32(str(r["doc_id"]).encode()) % 4 == 2)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["lang_pred"] == spoken[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_sample_has_the_smallest_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).selectExpr("id doc_id", "if(id % 9 = 0, 'de', 'en') lang")
+    rows = rows.union(rows.filter("doc_id < 500"))
+    hashes = {}
+    for r in rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().collect():
+        hashes.setdefault(r["lang"], []).append((r["h"], r["doc_id"]))
+    for spare in (3, 0.5):
+        # With half as many as wanted below the bound, everything is ranked.
+        monkeypatch.setattr(L, "SPARE", spare)
+        found = {}
+        for r in L.smallest_hashes(rows, 40).collect():
+            found.setdefault(r["lang"], set()).add(r["doc_id"])
+        assert found == {k: {d for _, d in sorted(v)[:40]} for k, v in hashes.items()}
