@@ -18,7 +18,8 @@ at least one, is one window.
 Defined cases: a null text has no words; documents or items without words match nothing. Rows with
 a null id are not indexed and have no matches in ``decontaminate``, and are searched by a number in
 ``decontaminate_rows``; items with a null id are ignored. Repeated rows of
-a document are matched once and reported for each row; repeated items count once. Other columns are ignored, and empty tables
+a document are matched once and reported for each row, and rows of one id with different texts share their
+positions, so ids should be unique; repeated items count once. Very long texts become postings like any others. Other columns are ignored, and empty tables
 give no matches.
 """
 
@@ -60,7 +61,7 @@ def windows(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
     cut = listed.select("item_id", F.explode(F.transform(
         starts, lambda i: F.slice("words", i, width))).alias("words"))
-    named = materialize(cut.select("item_id", F.sha2(F.concat_ws(" ", "words"), 256).alias("window"),
+    named = materialize(cut.select("item_id", F.unhex(F.sha2(F.concat_ws(" ", "words"), 256)).alias("window"),
                                    "words").distinct(), "windows")
     distinct = named.dropDuplicates(["window"]).select(
         "window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
@@ -83,11 +84,14 @@ def number_terms(words: DataFrame) -> DataFrame:
         "term", F.monotonically_increasing_id().alias("term_id")), "terms")
 
 
-def _starts(index: DataFrame, wanted: DataFrame, hot_rows: int) -> DataFrame:
-    """``(window, doc_id, start)`` of the postings that ``wanted(term_id, window, offset)`` asks for."""
+def _starts(index: DataFrame, wanted: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
+    """``(window, doc_id, start)`` of the postings that ``wanted(term_id, window, offset)`` asks for.
+
+    ``hot(term_id, rows)`` lists the terms with many postings, which are spread by document.
+    """
     wanted = wanted.select("term_id", "window", "offset")
     found = index.join(F.broadcast(wanted), "term_id") if wanted.count() <= BROADCAST_ROWS else (
-        index.join(wanted, "term_id"))
+        salted_join(index, wanted, "term_id", "doc_id", hot, hot_rows=hot_rows))
     return found.select("window", "doc_id", (F.col("position") - F.col("offset")).alias("start")).filter(
         F.col("start") >= 0)
 
@@ -95,7 +99,8 @@ def _starts(index: DataFrame, wanted: DataFrame, hot_rows: int) -> DataFrame:
 def phrase_matches(index: DataFrame, windows: DataFrame, terms: DataFrame,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(window, doc_id, start, length)``: every exact occurrence of every window."""
-    counts = index.groupBy("term_id").agg(F.count("*").alias("rows"))
+    counts = materialize(index.groupBy("term_id").agg(F.count("*").alias("rows")), "term-counts")
+    hot = counts.filter(F.col("rows") > hot_rows)
     known = windows.join(terms, "term").join(counts, "term_id", "left")
     every = Window.partitionBy("window")
     ranked = materialize(
@@ -103,8 +108,8 @@ def phrase_matches(index: DataFrame, windows: DataFrame, terms: DataFrame,
         .filter(F.col("least") > 0)
         .withColumn("rank", F.row_number().over(every.orderBy("rows", "offset")))
         .select("window", "length", "offset", "term_id", "rank"), "ranked-terms")
-    first = _starts(index, ranked.filter("rank = 1"), hot_rows)
-    second = _starts(index, ranked.filter("rank = 2"), hot_rows)
+    first = _starts(index, ranked.filter("rank = 1"), hot, hot_rows)
+    second = _starts(index, ranked.filter("rank = 2"), hot, hot_rows)
     lengths = ranked.select("window", "length").distinct()
     place = ["window", "doc_id", "start"]
     # Passages of a single word have no second term.
