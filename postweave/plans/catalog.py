@@ -636,11 +636,10 @@ def _held_out(key: str = "id") -> Column:
 def score_edges(spark, folder):
     labelled = _learning_edges(spark, folder)
     model = learn.fit_edge_classifier(labelled.filter("split = 'train'"))
-    scored = materialize(learn.score_edges(
-        model, labelled.filter("split = 'test'"), keep_probability=True), "scored")
+    scored = materialize(learn.score_edges(model, labelled, keep_probability=True), "scored")
     sides = scored.agg(F.avg(((F.col("probability") > 0.5) == (F.col("prediction") == 1)).cast("double")))
     return _with_quality(_rounded(scored, *learn.FEATURES), sides, "consistent", 1.0).select(
-        "src", "dst", *learn.FEATURES, "label", "consistent")
+        "src", "dst", *learn.FEATURES, "label", "split", "consistent")
 
 
 @query
@@ -663,14 +662,15 @@ def searched_classifier(spark, folder):
 
 @query
 def cut_edges(spark, folder):
+    """The edges that stay if a rule scores them, and whether those that a forest keeps are purer than all."""
     labelled = _learning_edges(spark, folder)
     model = learn.fit_edge_classifier(labelled.filter("split = 'train'"))
     scored = materialize(learn.score_edges(model, labelled), "scored")
-    kept = graph.cut_edges(scored).select("src", "dst", "label")
     # Of the edges that stay, more are within a label than of all edges.
-    share, before = (x.agg(F.avg("label")).first()[0] or 0.0 for x in (kept, labelled))
+    share, before = (x.agg(F.avg("label")).first()[0] or 0.0 for x in (graph.cut_edges(scored), labelled))
     none_lost = scored.count() == labelled.count()
-    return labelled.groupBy("label").agg(F.count("*").alias("edges")).withColumns(
+    ruled = labelled.withColumn("prediction", (F.col("sentence_distance") < CLOSE).cast("double"))
+    return graph.cut_edges(ruled).select("src", "dst", "label").withColumns(
         {"all_scored": F.lit(none_lost), "purer": F.lit(share > before)})
 
 

@@ -353,14 +353,14 @@ ORACLES: dict[str, str] = {
           AS cluster FROM gaps JOIN reach USING (label) GROUP BY id""",
     "score_edges": f"""WITH {LEARNING}
         SELECT src, dst, round(d, 6) AS sentence_distance, round(word_distance, 6) AS word_distance,
-          round(hashtag_distance, 6) AS hashtag_distance, label, true AS consistent
-        FROM labelled WHERE (least(src, dst) * 31 + greatest(src, dst)) % 10 >= 8""",
+          round(hashtag_distance, 6) AS hashtag_distance, label, true AS consistent,
+          CASE WHEN (least(src, dst) * 31 + greatest(src, dst)) % 10 >= 8 THEN 'test' ELSE 'train' END AS split
+        FROM labelled""",
     "cut_edges": f"""WITH {LEARNING}
-        SELECT label, count(*) AS edges, true AS all_scored, true AS purer FROM labelled GROUP BY label""",
+        SELECT src, dst, label, true AS all_scored, true AS purer FROM labelled WHERE d < {CLOSE}""",
     "classify_topics": f"""WITH {VECTORS}
         SELECT id, label, CAST(place AS INTEGER) AS label_idx, true AS known
-        FROM (SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS place FROM fx)
-        WHERE id * 7 % 5 = 3""",
+        FROM (SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS place FROM fx)""",
     "kmeans_topics": f"WITH {VECTORS} SELECT id, label, true AS settled, true AS in_range FROM fx",
     "searched_classifier": f"""WITH {LEARNING}
         SELECT src, dst, label, true AS same, true AS tried
@@ -369,7 +369,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT -1, 'new', true""",
     "pca3": f"""WITH {VECTORS} SELECT id, label, CAST(3 AS INTEGER) AS components, true AS in_order,
         true AS uncorrelated, true AS centred FROM fx""",
-    "language_id": f"WITH {POSTS} SELECT id, lang, true AS accurate FROM posts WHERE id * 7 % 5 = 3",
+    "language_id": f"WITH {POSTS} SELECT id, lang, true AS accurate FROM posts",
     "approx_neighbors": f"WITH {VECTORS} SELECT id, true AS within, true AS recalled FROM fx",
     "topics_of_texts": f"WITH {POSTS} SELECT id, true AS well_named, true AS known FROM posts",
     "stream_scored_topics": f"""WITH {VECTORS} SELECT id, true AS well_named, true AS known FROM fx

@@ -13,6 +13,8 @@ QUICK = [
     "word_vectors", "hashtag_vectors", "date_bucket", "date_parts", "bucket_pairs",
     "threshold_pairs", "online_neighbors", "nearest_neighbors", "most_similar", "closest_words",
     "proximity_edges", "confusion", "auroc", "row_index", "label_index", "assign_centroid",
+    "language_id", "classify_topics", "score_edges", "cut_edges", "kmeans_topics", "searched_classifier", "pca3",
+    "pca3_with_vector",
 ]
 
 
