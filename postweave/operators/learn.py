@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postweave.functions.vectors import RANK_DECIMALS, hashed_vector, norm, not_zero
 from postweave.operators.joins import HOT_ROWS, hot_keys, salted_join
 from postweave.operators.rows import row_index
+from postweave.storage import materialize
 
 FEATURES = ("sentence_distance", "word_distance", "hashtag_distance")
 
@@ -39,6 +40,8 @@ MOST_WORDS = 300_000
 
 # Centroids that are compared at a time: 1,000 x 768 doubles are 6 MiB.
 BLOCK_CENTROIDS = 1000
+# Centroids that are sent to every task, in bytes.
+CENTROID_BYTES = 64_000_000
 
 
 def edge_labels(edges: DataFrame, vertices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -230,13 +233,51 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def assign_centroid(posts: DataFrame, centroids: DataFrame,
-                    block_centroids: int = BLOCK_CENTROIDS) -> DataFrame:
+                    block_centroids: int = BLOCK_CENTROIDS, most_bytes: int = CENTROID_BYTES) -> DataFrame:
     """``(id, cluster)``: position of the first centroid, by label, within its threshold, else -1.
 
-    There is one centroid per label, and any number of labels: posts are compared with blocks of
-    centroids, and the smallest position of all blocks counts.
+    There is one centroid per label, and any number of labels. Centroids of up to ``most_bytes`` are counted and sent to
+    all tasks, and posts are compared where they lie; of more, posts are shuffled to blocks of centroids, and the smallest
+    position of all blocks counts.
     """
-    placed = row_index(centroids.filter(F.col("label").isNotNull()), "label", "position").withColumn(
+    stored = materialize(centroids.filter(F.col("label").isNotNull()).select(
+        "label", "centroid", "threshold"), "centroids")
+    size = stored.agg(F.sum(F.size("centroid")).cast("long")).first()[0] or 0
+    if size * 8 > most_bytes:
+        return _assign_by_blocks(posts, stored, block_centroids)
+    table = stored.orderBy("label").toArrow()
+    reach = (_rows_of(table["centroid"]) if size else np.zeros((0, 1)),
+             np.round(table["threshold"].to_numpy(), RANK_DECIMALS))
+    shared = posts.sparkSession.sparkContext.broadcast(reach)
+
+    def assign(batches):
+        centres, limits = shared.value
+        for batch in batches:
+            found = _first_within(batch.column(1), centres, limits, np.arange(len(limits)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.where(found < _NOWHERE, found, -1).astype(np.int32))],
+                names=["id", "cluster"])
+
+    return posts.select("id", "sentence_embeddings").mapInArrow(assign, "id bigint, cluster int")
+
+
+_NOWHERE = np.iinfo(np.int64).max
+
+
+def _first_within(vectors, centres: np.ndarray, limits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each vector the smallest place of a centre whose limit it is within."""
+    found = np.full(len(vectors), _NOWHERE)
+    if len(vectors) and len(centres):
+        points = _rows_of(vectors)
+        for place, centre, within in zip(places, centres, limits):
+            gap = points - centre
+            distance = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), RANK_DECIMALS)
+            found[distance < within] = np.minimum(found[distance < within], place)
+    return found
+
+
+def _assign_by_blocks(posts: DataFrame, centroids: DataFrame, block_centroids: int) -> DataFrame:
+    placed = row_index(centroids, "label", "position").withColumn(
         "block", F.floor((F.col("position") - 1) / block_centroids).cast("int"))
     blocks = (placed.agg(F.max("block")).first()[0] or 0) + 1
     parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -248,14 +289,9 @@ def assign_centroid(posts: DataFrame, centroids: DataFrame,
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def nearest(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        found = np.full(len(ours), np.iinfo(np.int64).max)
-        if len(ours) and len(theirs):
-            points, centres = _rows_of(ours["sentence_embeddings"]), _rows_of(theirs["centroid"])
-            limit = np.round(theirs["threshold"].to_numpy(), RANK_DECIMALS)
-            for place, centre, within in zip(theirs["position"].to_numpy(), centres, limit):
-                gap = points - centre
-                distance = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), RANK_DECIMALS)
-                found[distance < within] = np.minimum(found[distance < within], place - 1)
+        limits = np.round(theirs["threshold"].to_numpy(), RANK_DECIMALS)
+        centres = _rows_of(theirs["centroid"]) if len(theirs) else np.zeros((0, 1))
+        found = _first_within(ours["sentence_embeddings"], centres, limits, theirs["position"].to_numpy() - 1)
         return pa.table({"id": ours["id"], "cluster": pa.array(found)})
 
     found = rows.groupBy("block", "part").cogroup(reach.groupBy("block", "part")).applyInArrow(
@@ -265,8 +301,8 @@ def assign_centroid(posts: DataFrame, centroids: DataFrame,
         F.when(first == F.lit(2**63 - 1), -1).otherwise(first).cast("int").alias("cluster"))
 
 
-def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
-    values = column.combine_chunks()
+def _rows_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postweave.functions.dates import FIRST_DAY, with_time_bucket
+from postweave.operators.rows import spread
 
 # Every table of embeddings is read as words of this many components.
 WORD_WIDTH = 8
@@ -18,16 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a table among all cores if it has fewer splits than there are cores.
-
-    Splits have a bounded size, so what is moved is at most one split per core; large files have more
-    splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_dates(df: DataFrame, key: str) -> DataFrame:
     """Give every row a day of the bucketed range, as year, month and day."""
     offset = F.pmod(F.col(key) * DAY_STEP, F.lit(DAY_SPAN)).cast("int")
