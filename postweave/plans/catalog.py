@@ -14,8 +14,8 @@ from postweave.operators import elements, graph, joins, learn, metrics, neighbor
 from postweave.plans import offline
 from postweave.sources import derive, tables
 from postweave.storage import materialize, scratch_path
-from postweave.streaming import ingest
-from postweave.streaming.online import ComponentStream, NeighborStream, TopicStream
+from postweave.streaming import event_time, ingest
+from postweave.streaming.online import ComponentStream, NeighborStream, TopicStream, WindowComponents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -858,3 +858,103 @@ def stream_components(spark, folder):
     topics = ComponentStream(spark, scratch_path(spark, "online"))
     topics.start(_as_stream(edges, "arrivals", "src")).awaitTermination()
     return topics.components()
+
+
+# Buckets that arrive together in the window of components, and buckets that it looks back.
+WINDOW_ARRIVAL, LOOK_BACK = 3, 2
+
+
+@query
+def window_components(spark, folder):
+    """Components among the posts of the last buckets, after each of some batches of edges."""
+    posts = _vectors(spark, folder).select("id", "time_bucket")
+    edges = _rule(_stored(_vectors(spark, folder))).select("src", "dst")
+    edges = edges.join(posts.select(F.col("id").alias("src"), F.col("time_bucket").alias("src_bucket")), "src").join(
+        posts.select(F.col("id").alias("dst"), F.col("time_bucket").alias("dst_bucket")), "dst")
+    edges = materialize(edges.withColumn("arrival", F.floor(
+        F.greatest("src_bucket", "dst_bucket") / WINDOW_ARRIVAL).cast("int")), "dated-edges")
+    found, results = WindowComponents(spark, scratch_path(spark, "online"), LOOK_BACK), []
+    last = edges.agg(F.max("arrival")).first()[0]
+    for number in range((last if last is not None else -1) + 1):
+        found.update(edges.filter(F.col("arrival") == number), number)
+        results.append(found.components().withColumn("batch", F.lit(number)))
+    every = spark.createDataFrame([], "id bigint, component bigint, batch int")
+    for result in results:
+        every = every.unionByName(result)
+    return every
+
+
+# Streams by event time
+
+# Windows and lateness of the event queries, and what they rank.
+WINDOW, WINDOW_SECONDS, LATENESS = "6 hours", 6 * 3600, "1 day"
+TOP = 3
+# Days that arrive together; every so many events, one arrives with the last of them.
+ARRIVAL_DAYS, STRAGGLERS = 8, 13
+
+
+def _event_stream(spark, folder) -> tuple[DataFrame, event_time.TimelyStream, list]:
+    """Events with their time and the number of the batch they arrive in, and a stream that parts them."""
+    events = event_time.with_event_time(derive.table(spark, folder, "events"), "ts").select(
+        "event_id", "user_id", "event_type", "value", "at")
+    first = events.agg(F.min("at")).first()[0]
+    days = F.floor((F.unix_micros("at") - F.unix_micros(F.lit(first))) / 86_400_000_000)
+    group = F.floor(days / ARRIVAL_DAYS).cast("int")
+    last = events.agg(F.max(group)).first()[0] or 0
+    arriving = events.withColumn("arrival", F.when(
+        F.pmod("event_id", F.lit(STRAGGLERS)) == 0, last).otherwise(group))
+    return arriving, event_time.TimelyStream(spark, scratch_path(spark, "events"), WINDOW, LATENESS), list(range(last + 1))
+
+
+def _run_events(spark, folder, build) -> tuple[DataFrame, event_time.TimelyStream]:
+    """Let events arrive batch by batch and run an append-mode query on the timely ones after each."""
+    events, timely, groups = _event_stream(spark, folder)
+    arrivals, out = scratch_path(spark, "arrivals"), scratch_path(spark, "closed")
+    checkpoint = scratch_path(spark, "checkpoint")
+    for group in groups:
+        events.filter(F.col("arrival") == group).drop("arrival").write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(events.drop("arrival").schema).parquet(arrivals)
+        timely.start(stream).awaitTermination()
+        result = build(timely.timely())
+        event_time.append_closed(result, out, checkpoint).awaitTermination()
+    return spark.read.schema(result.schema).parquet(out), timely
+
+
+def _naive(column: str) -> Column:
+    return F.col(column).cast("timestamp_ntz")
+
+
+@query
+def event_windows(spark, folder):
+    """Events of closed windows; late ones do not count."""
+    found, _ = _run_events(spark, folder, lambda rows: event_time.window_totals(rows, WINDOW, "value", "event_type"))
+    return found.select(_naive("window_start").alias("window_start"), "event_type", "events",
+                        F.round("total", 2).alias("total"))
+
+
+@query
+def late_events(spark, folder):
+    """Events that came after their window was closed."""
+    events, timely, groups = _event_stream(spark, folder)
+    for group in groups:
+        timely.update(events.filter(F.col("arrival") == group).drop("arrival"), group)
+    timely.schema = events.drop("arrival").schema
+    return timely.late().select("event_id", _naive("at").alias("ts"))
+
+
+@query
+def event_candidates(spark, folder):
+    """For each purchase the views and clicks of its user in the same window and the one before."""
+    found, _ = _run_events(spark, folder, lambda rows: event_time.candidates_before(
+        rows.filter("event_type = 'purchase'"), rows.filter("event_type IN ('view', 'click')"),
+        WINDOW, "user_id", "event_id"))
+    return found.groupBy("event_id", "user_id").agg(F.sum("candidates").alias("candidates"))
+
+
+@query
+def event_tops(spark, folder):
+    """The largest values of every closed window and type."""
+    found, _ = _run_events(spark, folder, lambda rows: event_time.top_of_windows(
+        rows, WINDOW, TOP, "value", "event_id", "event_type"))
+    return event_time.merge_tops(found, TOP, "value", "event_id", "event_type").withColumn(
+        "window_start", _naive("window_start"))

@@ -6,7 +6,8 @@ components by a recursive query, unlike in the Spark plans.
 
 from __future__ import annotations
 
-from postweave.plans.catalog import CLOSE, LATE_STEP, N, NEW_BUCKET, REACH
+from postweave.plans.catalog import (
+    ARRIVAL_DAYS, CLOSE, LATE_STEP, LOOK_BACK, N, NEW_BUCKET, REACH, STRAGGLERS, TOP, WINDOW_ARRIVAL, WINDOW_SECONDS)
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE_SET = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
@@ -130,6 +131,26 @@ labelled AS (
   JOIN best_words w ON w.src = near.src AND w.dst = near.dst
   JOIN best_tags t ON t.src = near.src AND t.dst = near.dst)"""
 
+# Batches of events, the watermark of each, and what is timely and closed under it.
+EVENTS = f"""
+numbered AS (
+  SELECT *, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 86400000000) AS INTEGER)
+    // {ARRIVAL_DAYS} AS own FROM events),
+arriving AS (
+  SELECT *, CASE WHEN event_id % {STRAGGLERS} = 0 THEN (SELECT max(own) FROM numbered) ELSE own END AS batch,
+    make_timestamp(epoch_us(ts) // {WINDOW_SECONDS}000000 * {WINDOW_SECONDS}000000) AS window_start
+  FROM numbered),
+marks AS (
+  SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    - INTERVAL 1 DAY AS watermark FROM arriving GROUP BY batch),
+parted AS (
+  SELECT a.*, coalesce(window_start + INTERVAL ({WINDOW_SECONDS}) SECOND <= watermark, false) AS late
+  FROM arriving AS a JOIN marks USING (batch)),
+timely AS (SELECT * FROM parted WHERE NOT late),
+closed AS (
+  SELECT * FROM timely WHERE window_start + INTERVAL ({WINDOW_SECONDS}) SECOND
+    <= (SELECT max(ts) FROM arriving) - INTERVAL 1 DAY)"""
+
 FLAT = rf"""{POSTS},
 flat AS (
   SELECT *, regexp_replace(replace(
@@ -398,4 +419,29 @@ ORACLES: dict[str, str] = {
     "stream_components": f"""WITH RECURSIVE {_components()}
         SELECT id, component FROM topics
         WHERE id IN (SELECT src FROM kept UNION SELECT dst FROM kept)""",
+    "window_components": f"""WITH RECURSIVE {_near()},
+        dated AS (
+          SELECT src, dst, least(a.time_bucket, b.time_bucket) AS older, greatest(a.time_bucket, b.time_bucket) AS newer
+          FROM near JOIN fx a ON a.id = src JOIN fx b ON b.id = dst WHERE d < {CLOSE}),
+        steps AS (SELECT newer // {WINDOW_ARRIVAL} AS batch, max(newer) AS newest FROM dated GROUP BY 1),
+        alive AS (
+          SELECT batch, src, dst FROM steps JOIN dated ON newer <= newest AND older >= newest - {LOOK_BACK}),
+        pairs_both AS (SELECT batch, src, dst FROM alive UNION SELECT batch, dst, src FROM alive),
+        reach AS (
+          SELECT batch, src AS id, src AS seen FROM pairs_both
+          UNION SELECT r.batch, r.id, b.dst FROM reach r JOIN pairs_both b ON b.batch = r.batch AND b.src = r.seen)
+        SELECT id, min(seen) AS component, CAST(batch AS INTEGER) AS batch FROM reach GROUP BY batch, id""",
+    "event_windows": f"""WITH {EVENTS}
+        SELECT window_start, event_type, count(*) AS events, round(sum(value), 2) AS total
+        FROM closed GROUP BY window_start, event_type""",
+    "late_events": f"WITH {EVENTS} SELECT event_id, ts FROM parted WHERE late",
+    "event_candidates": f"""WITH {EVENTS}
+        SELECT a.event_id, a.user_id, count(*) AS candidates FROM timely AS a JOIN closed AS b
+          ON a.user_id = b.user_id AND b.window_start IN (
+            a.window_start, a.window_start - INTERVAL ({WINDOW_SECONDS}) SECOND)
+        WHERE a.event_type = 'purchase' AND b.event_type IN ('view', 'click') GROUP BY a.event_id, a.user_id""",
+    "event_tops": f"""WITH {EVENTS}
+        SELECT window_start, event_type, place, event_id, value FROM (
+          SELECT *, row_number() OVER (PARTITION BY window_start, event_type ORDER BY value DESC, event_id) AS place
+          FROM closed) WHERE place <= {TOP}""",
 }

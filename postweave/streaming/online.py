@@ -18,6 +18,7 @@ from postweave.storage import committed_batches, delete, discard, materialize
 from postweave.streaming.ingest import split_late
 
 LINK_SCHEMA = "id bigint, component bigint"
+FOREST_SCHEMA = "bucket int, high bigint, low bigint, newest int"
 MERGE_SCHEMA = "component bigint, root bigint"
 BUFFER_SCHEMA = "id bigint, sentence_embeddings array<float>, time_bucket int"
 LIST_SCHEMA = f"id bigint, time_bucket int, neighbors {NEIGHBORS}"
@@ -191,6 +192,67 @@ class ComponentStream:
         )
 
 
+class WindowComponents:
+    """Connected components of the posts of the last ``window`` time buckets and the newest one.
+
+    Unlike in ``ComponentStream``, components part again when posts that held them together leave the window. An edge
+    lives as long as the older of its posts, so edges are kept by that post's bucket, and those of a bucket leave together:
+    what is kept of them is a spanning forest, at most one link per post. The components of the window are those of its
+    forests. Only forests that a batch adds edges to are made anew; each batch writes its own copy of the forests of the
+    window and deletes the one before the last.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, window: int = 1):
+        self.spark, self.path, self.window = spark, path, window
+
+    def update(self, batch: DataFrame, number: int) -> None:
+        """Take in ``(src, dst, src_bucket, dst_bucket)``; repetitions and directions do not matter."""
+        edges = materialize(batch.select(
+            "src", "dst", F.least("src_bucket", "dst_bucket").cast("int").alias("bucket"),
+            F.greatest("src_bucket", "dst_bucket").cast("int").alias("newer")), "arrived")
+        before = _read_last(self.spark, f"{self.path}/forests", number, FOREST_SCHEMA)
+        newest = max((x for x in (
+            before.agg(F.max("newest")).first()[0], edges.agg(F.max("newer")).first()[0]) if x is not None),
+            default=None)
+        alive = F.lit(False) if newest is None else F.col("bucket") >= newest - self.window
+        touched = F.broadcast(edges.filter(alive).select("bucket").distinct())
+        held = before.filter(alive & F.col("high").isNotNull())
+        # Links of all touched buckets at once, with the bucket as part of a post's name.
+        links = edges.filter(alive).select("bucket", "src", "dst").unionByName(
+            held.join(touched, "bucket", "left_semi").select(
+                "bucket", F.col("high").alias("src"), F.col("low").alias("dst")))
+        stars = component_stars(links.select(
+            F.struct("bucket", F.col("src").alias("id")).alias("src"),
+            F.struct("bucket", F.col("dst").alias("id")).alias("dst")))
+        renewed = stars.select(F.col("id.bucket").alias("bucket"), F.col("id.id").alias("high"),
+                               F.col("component.id").alias("low"))
+        kept = held.join(touched, "bucket", "left_anti").select("bucket", "high", "low")
+        forests = renewed.unionByName(kept).withColumn("newest", F.lit(newest).cast("int"))
+        # The newest bucket is remembered even if no link is left.
+        mark = self.spark.range(1).select(
+            F.lit(newest).cast("int").alias("bucket"), F.lit(None).cast("bigint").alias("high"),
+            F.lit(None).cast("bigint").alias("low"), F.lit(newest).cast("int").alias("newest"))
+        _write_batch(forests.unionByName(mark), f"{self.path}/forests", number)
+        _forget(self.spark, [f"{self.path}/forests"], number - 1)
+        discard(edges)
+
+    def components(self, below: int | None = None) -> DataFrame:
+        """``(id, component)`` of the posts in the window that have a link, as batches (before ``below``) left them."""
+        links = _read_last(self.spark, f"{self.path}/forests", below, FOREST_SCHEMA).filter(
+            F.col("high").isNotNull() & (F.col("high") != F.col("low")))
+        stars = materialize(component_stars(links.select(
+            F.col("high").alias("src"), F.col("low").alias("dst"))), "stars")
+        # Stars leave out the smallest post of each component.
+        return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+
+    def start(self, stream: DataFrame) -> StreamingQuery:
+        return (
+            stream.writeStream.foreachBatch(self.update)
+            .option("checkpointLocation", f"{self.path}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+
+
 class TopicStream:
     """Topics while vectorised posts arrive: neighbours, edges, cut, components.
 
