@@ -8,6 +8,8 @@ reads prune columns) and gives the optimizer exact sizes.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,20 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+# Lists that take note of the tables written while they are in use, innermost last.
+_noted: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noted_tables() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialize`` writes in this block, for ``discard``."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
@@ -55,6 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.scratch = path
+    for tables in _noted:
+        tables.append(stored)
     return stored
 
 
