@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from llm_support import documents, sentence
 from test_decontamination import brute_force as contaminated
-from test_lines import brute_force as lines_of
+from test_lines import key
 from test_ngram_join import brute_force as groups_of
 from postweave.llm.piece_encoding import codec
 from postweave.llm.queries import vocabulary
@@ -34,6 +34,25 @@ def folder(spark, tmp_path_factory):
     return path, texts, items
 
 
+def lines_of(texts, least):
+    """Texts without lines that ``least`` documents have; the first of these keeps its first one."""
+    firsts, counts = {}, {}
+    for i, text in enumerate(texts):
+        for k in {key(x) for x in (text or "").split("\n")} - {""}:
+            firsts.setdefault(k, i)
+            counts[k] = counts.get(k, 0) + 1
+    found = {}
+    for i, text in enumerate(texts):
+        kept, seen = [], set()
+        for line in (text or "").split("\n"):
+            k = key(line)
+            if not k or counts[k] < least or firsts[k] == i and k not in seen:
+                kept.append(line)
+            seen.add(k)
+        found[i] = (0, len((text or "").split("\n")) - len(kept), "\n".join(kept))
+    return found
+
+
 def test_run_equals_brute_force(spark, folder):
     path, texts, items = folder
     left = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
