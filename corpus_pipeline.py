@@ -16,11 +16,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from postweave.llm import (  # noqa: E402
     decontamination, language, line_dedup, ngram_join, piece_encoding)
-from postweave.llm.columns import BROADCAST_ROWS, broadcast_if_small  # noqa: E402
 from postweave.llm.queries import vocabulary  # noqa: E402
-from postweave.operators.joins import HOT_ROWS, salted_join  # noqa: E402
 from postweave.sources.derive import table  # noqa: E402
-from postweave.storage import materialize  # noqa: E402
+from postweave.storage import discard, materialize, noted_tables  # noqa: E402
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -31,37 +29,14 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
         "lang", F.col("lang_pred")).select(*docs.columns)
 
 
-# A text with a word.
-HAS_WORD = "[^\\x20\\x09-\\x0D]"
-
-
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """Keep the document with the smallest id of those with the same text.
-
-    Texts without words and rows without an id stay. Texts are compared by 128 bits.
-    """
-    digest = F.unhex(F.md5("text")).alias("_digest")
-    named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(HAS_WORD)).select("doc_id", digest)
-    firsts = materialize(named.groupBy("_digest").agg(
-        F.min("doc_id").alias("_first"), F.count("*").alias("rows")).filter(F.col("rows") > 1), "copied-texts")
-    if firsts.count() <= BROADCAST_ROWS:
-        found = named.join(F.broadcast(firsts), "_digest")
-    else:
-        hot = firsts.filter(F.col("rows") > HOT_ROWS).select("_digest", "rows")
-        found = salted_join(named, firsts.drop("rows"), "_digest", "doc_id", hot)
-    copies = materialize(found.filter(F.col("doc_id") != F.col("_first")).select(
-        "doc_id", "_digest").distinct(), "copies")
-    return docs.withColumn("_digest", digest).join(
-        broadcast_if_small(copies), ["doc_id", "_digest"], "left_anti").select(*docs.columns)
-
-
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Remove lines that many different documents share; documents without any word left go.
+    """Remove lines that many different documents share, but for the first of them; documents without any word left go.
 
-    Exact copies count once: else all lines of ten copies would go, and with them every copy.
+    Exact copies count once, and of near copies the first stays whole: else all lines that ten of them share would go
+    from every one.
     """
-    kept = line_dedup.dedup_lines(distinct_texts(docs))
-    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(HAS_WORD)
+    kept = line_dedup.dedup_lines(line_dedup.distinct_texts(docs), keep_first=True)
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(line_dedup.HAS_WORD)
     return kept.filter(~emptied).withColumn(
         "n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
@@ -110,10 +85,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, folder, "documents")
+    """All stages over ``documents``; a stage's own tables go once its result is written, and that after the next."""
+    docs, previous = table(spark, folder, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, folder), name.replace(" ", "-"))
+        with noted_tables() as made:
+            stored = materialize(stage(spark, docs, folder), name.replace(" ", "-"))
+        discard(*(t for t in made if t is not stored), *([previous] if previous is not None else []))
+        docs = previous = stored
     return STAGES[-1][1](spark, docs, folder)
 
 
