@@ -67,10 +67,27 @@ def edge_features(edges: DataFrame, count: int = len(FEATURES)) -> DataFrame:
     return assembler.transform(edges)
 
 
-def fit_edge_classifier(labelled: DataFrame, features: int = len(FEATURES)):
-    """Fit a random forest that tells edges within a label from edges between labels."""
+def balanced_weights(labelled: DataFrame) -> DataFrame:
+    """Add ``weight``, so that edges within and between labels weigh the same in all."""
+    counts = {r["label"]: r["edges"] for r in labelled.groupBy("label").agg(F.count("*").alias("edges")).collect()}
+    total = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for label, edges in counts.items():
+        weight = F.when(F.col("label") == label, total / (len(counts) * edges)).otherwise(weight)
+    return labelled.withColumn("weight", weight)
+
+
+def fit_edge_classifier(labelled: DataFrame, features: int = len(FEATURES), balanced: bool = False):
+    """Fit a random forest that tells edges within a label from edges between labels.
+
+    ``balanced`` weighs the edges of the rarer kind up; ``metrics.threshold_for_recall`` then finds where to cut.
+    """
     forest = _forest().setNumTrees(TREES).setMaxDepth(DEPTH).setMaxBins(BINS)
-    data = edge_features(labelled, features).select("features", "label").persist()
+    columns = ["features", "label"]
+    if balanced:
+        labelled, forest = balanced_weights(labelled), forest.setWeightCol("weight")
+        columns.append("weight")
+    data = edge_features(labelled, features).select(*columns).persist()
     try:
         return forest.fit(data)
     finally:

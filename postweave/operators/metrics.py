@@ -35,6 +35,36 @@ def auroc(scored: DataFrame, score: Column, label: str = "label") -> DataFrame:
                      (F.sum("pos") * F.sum("neg")).cast("double")).alias("auroc"))
 
 
+# Bins that scores between 0 and 1 are counted in.
+BINS = 1000
+
+
+def precision_recall(scored: DataFrame, score: Column, label: str = "label", bins: int = BINS) -> DataFrame:
+    """``(bin, threshold, tp, fp, precision, recall)`` if scores from each threshold on count as positive.
+
+    Scores between 0 and 1 are counted per bin in one pass; only bins that occur are listed, so what is summed
+    up in order are at most ``bins`` rows. Rows without a score are left out.
+    """
+    place = F.least(F.floor(F.round(score * bins, 6)), F.lit(bins - 1)).cast("int")
+    counts = scored.filter(score.isNotNull()).groupBy(place.alias("bin")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("bin"))
+    every = Window.partitionBy(F.lit(0))
+    summed = counts.select(
+        "bin", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"),
+        F.sum("pos").over(every).alias("all"))
+    return summed.select(
+        "bin", (F.col("bin") / bins).alias("threshold"), "tp", "fp",
+        F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"),
+        F.try_divide("tp", F.col("all")).alias("recall"))
+
+
+def threshold_for_recall(curve: DataFrame, least: float) -> float:
+    """The largest threshold of ``precision_recall`` that reaches a recall; 0 if none does."""
+    found = curve.filter(F.col("recall") >= least).agg(F.max("threshold")).first()[0]
+    return 0.0 if found is None else found
+
+
 def running_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``key``, without a one-task window.
 

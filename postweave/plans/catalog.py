@@ -10,11 +10,12 @@ from postweave import storage
 from postweave.functions import dates as D
 from postweave.functions import text as T
 from postweave.functions import vectors as V
-from postweave.operators import elements, graph, joins, learn, metrics, neighbors, rows
+from postweave.operators import elements, graph, joins, learn, metrics, neighbors, rows, word_space
 from postweave.plans import offline
 from postweave.sources import derive, tables
 from postweave.storage import materialize, scratch_path
 from postweave.streaming import event_time, ingest
+from postweave.streaming.sample import StreamSample
 from postweave.streaming.online import ComponentStream, NeighborStream, TopicStream, WindowComponents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,6 +239,24 @@ def language_id(spark, folder):
         "id", "lang", "accurate")
 
 
+@query
+def count_vectors(spark, folder):
+    """Vectors of all words from their neighbours; those of frequent words lie with their language."""
+    posts = _posts(spark, folder)
+    tokens = materialize(posts.select("lang", T.tokens(F.col("text")).alias("token")), "tokens")
+    vectors = materialize(word_space.count_vectors(tokens), "words")
+    counts = materialize(tokens.select("lang", F.explode("token").alias("token")).groupBy("token", "lang").agg(
+        F.count("*").alias("n")), "counts")
+    words = counts.groupBy("token").agg(
+        F.sum("n").alias("n"), F.max_by("lang", "n").alias("lang"), F.max("n").alias("most"))
+    found = materialize(words.join(vectors.withColumnRenamed("word", "token"), "token", "left"), "embedded")
+    # Words of one language only, that occur often.
+    frequent = found.filter("n >= 20 AND most = n").filter(V.not_zero(F.col("vector"))).select(
+        F.col("lang").alias("cluster"), F.col("vector").alias("sentence_embeddings"))
+    placed = _with_quality(found, _in_closest_cluster(frequent), "apart", 0.7)
+    return placed.select("token", "n", F.col("vector").isNotNull().alias("embedded"), "apart")
+
+
 @query
 def token_positions(spark, folder):
     token = F.col("token")
@@ -543,6 +562,14 @@ def auroc(spark, folder):
     return metrics.auroc(scored, -F.col("sentence_distance")).select(F.round("auroc", 6).alias("auroc"))
 
 
+@query
+def precision_recall(spark, folder):
+    """Precision and recall for every distance that edges could be cut at."""
+    scored = _ruled(spark, folder).select("label", "sentence_distance")
+    curve = metrics.precision_recall(scored, 1 - F.col("sentence_distance") / 2)
+    return curve.withColumns({c: F.round(c, 6) for c in ("threshold", "precision", "recall")})
+
+
 @query
 def row_index(spark, folder):
     return rows.row_index(_posts(spark, folder).select("id", "label"))
@@ -660,6 +687,25 @@ def searched_classifier(spark, folder):
         "src", "dst", "label", "same", tried.alias("tried"))
 
 
+# Recall that the threshold of the balanced classifier must reach on its training edges.
+RECALL = 0.95
+
+
+@query
+def balanced_edges(spark, folder):
+    """Edges scored by a forest with weighted labels and cut where it reaches a recall."""
+    labelled = _learning_edges(spark, folder)
+    train = materialize(learn.balanced_weights(labelled.filter("split = 'train'")), "weighted")
+    totals = [r[0] for r in train.groupBy("label").agg(F.round(F.sum("weight"), 6).alias("total")).select("total").collect()]
+    model = learn.fit_edge_classifier(train.drop("weight"), balanced=True)
+    scored = materialize(learn.score_edges(model, labelled, keep_probability=True), "scored")
+    known = scored.filter("split = 'train'")
+    cut = metrics.threshold_for_recall(metrics.precision_recall(known, F.col("probability")), RECALL)
+    reached = known.filter("label = 1").agg(F.avg((F.col("probability") >= cut - 1e-9).cast("double")))
+    return _with_quality(scored, reached, "reached", RECALL).select(
+        "src", "dst", "label", "split", "reached", F.lit(len(set(totals)) == 1).alias("balanced"))
+
+
 @query
 def cut_edges(spark, folder):
     """The edges that stay if a rule scores them, and whether those that a forest keeps are purer than all."""
@@ -860,6 +906,15 @@ def stream_components(spark, folder):
     return topics.components()
 
 
+@query
+def stream_sample(spark, folder):
+    """A sample of posts that arrive in some batches."""
+    posts = _posts(spark, folder).select("id", "label")
+    found = StreamSample(spark, scratch_path(spark, "sample"), posts.schema, 100)
+    found.start(_as_stream(posts, "arrivals", "id"), scratch_path(spark, "checkpoint")).awaitTermination()
+    return found.sample().select("id", "label")
+
+
 # Buckets that arrive together in the window of components, and buckets that it looks back.
 WINDOW_ARRIVAL, LOOK_BACK = 3, 2
 

@@ -337,6 +337,25 @@ ORACLES: dict[str, str] = {
     "auroc": f"""WITH {_labelled()}
         SELECT round(avg(CASE WHEN p.d < q.d THEN 1.0 WHEN p.d = q.d THEN 0.5 ELSE 0.0 END), 6) AS auroc
         FROM labelled p JOIN labelled q ON p.label = 1 AND q.label = 0""",
+    "precision_recall": f"""WITH {_labelled()},
+        counted AS (
+          SELECT least(CAST(floor(round((1 - d / 2) * 1000, 6)) AS INTEGER), 999) AS bin,
+            count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM labelled GROUP BY bin),
+        summed AS (
+          SELECT bin, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp,
+            sum(pos) OVER () AS every
+          FROM counted WINDOW w AS (ORDER BY bin DESC))
+        SELECT bin, round(bin / 1000, 6) AS threshold, tp, fp, round(tp / (tp + fp), 6) AS precision,
+          round(tp / every, 6) AS recall FROM summed""",
+    "balanced_edges": f"""WITH {LEARNING}
+        SELECT src, dst, label, true AS reached, true AS balanced,
+          CASE WHEN (least(src, dst) * 31 + greatest(src, dst)) % 10 >= 8 THEN 'test' ELSE 'train' END AS split
+        FROM labelled""",
+    "count_vectors": f"""WITH {TOKENS}
+        SELECT word AS token, count(*) AS n, true AS embedded, true AS apart
+        FROM (SELECT unnest(token) AS word FROM tokenised) GROUP BY word""",
+    "stream_sample": """SELECT doc_id AS id, source AS label FROM documents
+        ORDER BY substr(md5(CAST(doc_id AS VARCHAR) || ':3'), 1, 8), doc_id LIMIT 100""",
     "row_index": """SELECT doc_id AS id, source AS label, row_number() OVER (ORDER BY doc_id) AS index
         FROM documents""",
     "union_posts": f"WITH {VECTORS} SELECT id, label, time_bucket FROM fx",
