@@ -12,7 +12,7 @@ from postweave.functions import text as T
 from postweave.functions import vectors as V
 from postweave.operators import elements, graph, joins, learn, metrics, neighbors, rows, word_space
 from postweave.plans import offline
-from postweave.sources import derive, tables
+from postweave.sources import colocated, derive, tables
 from postweave.storage import materialize, scratch_path
 from postweave.streaming import event_time, ingest
 from postweave.streaming.sample import StreamSample
@@ -600,6 +600,20 @@ def edge_labels(spark, folder):
     return _rounded(learn.edge_labels(_stored(posts), rows.vertices(posts)))
 
 
+@query
+def colocated_edges(spark, folder):
+    """Edges with the labels of their sources and how many go out from each, from tables that meet without a shuffle."""
+    posts = _vectors(spark, folder).select("id", "label")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = colocated.save(posts, colocated.fresh_name("posts"), "id", buckets)
+    edges = colocated.save(_near(_vectors(spark, folder)), colocated.fresh_name("edges"), "src", buckets)
+    labelled = colocated.attach(edges, stored, "src", ["label"], "_1")
+    degrees = edges.groupBy("src").agg(F.count("*").alias("out_degree"))
+    found = labelled.join(degrees.hint("merge"), "src")
+    return found.select("src", "dst", F.col("label_1").alias("label"), "out_degree").withColumn(
+        "unmoved", F.lit(colocated.shuffles(found) == 0))
+
+
 @query
 def undirected_edges(spark, folder):
     return graph.undirected_edges(_stored(_vectors(spark, folder)))
