@@ -10,7 +10,7 @@ from postweave import storage
 from postweave.functions import dates as D
 from postweave.functions import text as T
 from postweave.functions import vectors as V
-from postweave.operators import elements, graph, joins, learn, metrics, neighbors, rows, word_space
+from postweave.operators import elements, graph, joins, learn, metrics, neighbors, rows, vector_index, word_space
 from postweave.plans import offline
 from postweave.sources import colocated, derive, tables
 from postweave.storage import materialize, scratch_path
@@ -600,6 +600,33 @@ def edge_labels(spark, folder):
     return _rounded(learn.edge_labels(_stored(posts), rows.vertices(posts)))
 
 
+def _indexed(spark, folder) -> tuple[vector_index.VectorIndex, DataFrame]:
+    """An index of all vectors, and the queries: every fiftieth of them."""
+    posts = _vectors(spark, folder).select("id", "sentence_embeddings")
+    return vector_index.build(posts, scratch_path(spark, "index")), posts.filter(F.col("id") % 50 == 0)
+
+
+@query
+def indexed_exact(spark, folder):
+    """The nearest of all posts by the index, with all its cells searched."""
+    index, asked = _indexed(spark, folder)
+    found = vector_index.search(index, asked, exact=True)
+    return found.select(F.col("query").alias("src"), F.col("id").alias("dst"),
+                        F.round("distance", 6).alias("sentence_distance"))
+
+
+@query
+def indexed_neighbors(spark, folder):
+    """Queries by codes, with as many cells as a sample of other posts needs."""
+    index, asked = _indexed(spark, folder)
+    posts = _vectors(spark, folder).select("id", "sentence_embeddings")
+    sample = rows.sample_n(posts, 100)
+    probes = vector_index.probes_for_recall(index, sample, least=0.95)
+    found = materialize(vector_index.search(index, asked, probes=probes), "found")
+    quality = vector_index.recall(found, vector_index.search(index, asked, exact=True))
+    return _with_quality(found.select(F.col("query").alias("src")).distinct(), quality, "recalled", 0.9)
+
+
 @query
 def colocated_edges(spark, folder):
     """Edges with the labels of their sources and how many go out from each, from tables that meet without a shuffle."""

@@ -337,6 +337,9 @@ ORACLES: dict[str, str] = {
     "auroc": f"""WITH {_labelled()}
         SELECT round(avg(CASE WHEN p.d < q.d THEN 1.0 WHEN p.d = q.d THEN 0.5 ELSE 0.0 END), 6) AS auroc
         FROM labelled p JOIN labelled q ON p.label = 1 AND q.label = 0""",
+    "indexed_exact": f"""WITH {_near('all', 10)}
+        SELECT src, dst, round(d, 6) AS sentence_distance FROM near WHERE src % 50 = 0""",
+    "indexed_neighbors": f"WITH {VECTORS} SELECT id AS src, true AS recalled FROM fx WHERE id % 50 = 0",
     "colocated_edges": f"""WITH {_near()}
         SELECT src, dst, label, count(*) OVER (PARTITION BY src) AS out_degree, true AS unmoved
         FROM near JOIN fx ON id = src""",
