@@ -3,12 +3,12 @@
 ``pattern_spans`` finds what patterns and checksums can tell for certain. ``Field`` labels the words of
 every line by Viterbi decoding; its features are word shapes (kinds of characters with
 repetitions put together, lengths and numbers of digits) of a word and its neighbours, so it also finds
-what the patterns miss: numbers that fail their checksum, or secrets. Spans of the field that overlap a pattern's are
-dropped.
+what the patterns miss: secrets, phone numbers without a country, cards among other digits. Spans of the field that
+overlap a pattern's are dropped, and, if asked for, those that cannot be of their kind.
 
 The field is trained by the driver from a small table of lines with labelled spans, at most
-``TRAINING_LINES`` of them, by maximum likelihood. ``weak_labels`` makes such a table from documents with
-looser patterns; a hand-made table of the same form serves as well. Decoding runs in numpy over batches of lines
+``TRAINING_LINES`` of them, by maximum likelihood. ``labelled_lines`` holds a table that was labelled by hand;
+``weak_labels`` makes one from documents with looser patterns, which shows the field how the corpus reads. Decoding runs in numpy over batches of lines
 of similar length.
 
 Defined cases: a null text has no spans. Offsets count code points, ends are exclusive. Lines end at a line
@@ -37,6 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 # The same for texts of any length: all starts within one run of characters share what follows the run, so only
 # the first one is tried, and what was read is not given back.
+_PHONE_LIKE = re.compile(r"[+(]?[0-9][\x20().0-9-]*[0-9]")
 _RUN = re.compile(r"[A-Za-z0-9._%+-]++(@?)")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -50,6 +51,7 @@ _CONTINUES = {4: 6, 5: 7}
 
 TRAINING_LINES = 1500
 TRAINING_DOCUMENTS = 600
+TRAINING_CHARACTERS = 2000
 STEPS = 60
 PENALTY = 1e-3
 # The arrays of a chunk stay small; lines of a chunk are decoded side by side.
@@ -281,21 +283,22 @@ def _ascend(known: np.ndarray, which: np.ndarray, labels: np.ndarray, offsets: n
     return Field(known, *(w.astype(np.float32) for w in weights))
 
 
-_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}(?![0-9A-Za-z])")
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 
 
 def weak_labels(docs: DataFrame, documents: int = TRAINING_DOCUMENTS,
                 lines: int = TRAINING_LINES) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """A small labelled table: lines of the documents with digits that hash smallest.
 
-    Lines with a span come first. Both numbers are bounds of the training table only.
+    Lines with a span come first. Both numbers are bounds of the training table only, as is the length of its lines.
     """
     # Ids are ranked without their texts, which are then looked up for the few chosen ones.
     ids = docs.filter(F.col("text").rlike("[0-9]") & F.col("doc_id").isNotNull()).select(
         "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     parted = chosen.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(
-        "line <> ''")
+        "line <> ''").filter(
+        F.length("line") <= TRAINING_CHARACTERS)
     marked = F.col("line").rlike(r"[0-9]{4}|[0-9]\.[0-9]|@")
     first = parted.orderBy(~marked, F.xxhash64("doc_id", "at"), "line").limit(lines)
     found = []
@@ -315,8 +318,8 @@ def _apart(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return kept
 
 
-def field_spans(column: pa.Array, field: Field) -> Iterator[list[tuple[str, int, int]]]:
-    """For each text the field's spans, without marks at their ends."""
+def field_spans(column: pa.Array, field: Field, checked: bool = False) -> Iterator[list[tuple[str, int, int]]]:
+    """For each text the field's spans, without marks at their ends; ``checked`` drops what cannot be of its kind."""
     for start, end, data, offsets in text_chunks(column, CHUNK_BYTES):
         starts, ends, words = runs(~IS_SPACE[data], offsets)
         # Texts end lines as well.
@@ -340,12 +343,29 @@ def field_spans(column: pa.Array, field: Field) -> Iterator[list[tuple[str, int,
             previous = (word, _CONTINUES.get(label, label))
         for i, spans in enumerate(found):
             yield [(kind, int(points[a] - points[offsets[i]]), int(points[b] - points[offsets[i]]))
-                   for kind, a, b in (_trimmed(data, *s) for s in spans) if a < b]
+                   for kind, a, b in (_trimmed(data, *s) for s in spans)
+                   if a < b and (not checked or _possible(kind, data[a:b].tobytes().decode()))]
+
+
+def _possible(kind: str, text: str) -> bool:
+    """Whether what the field takes for a kind can be one: it sees shapes, not checksums."""
+    digits = _digits(text)
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and _luhn(digits)
+    if kind == "phone":
+        return 7 <= len(digits) <= 15 and _PHONE_LIKE.fullmatch(text) is not None
+    if kind == "ip":
+        return len(digits) >= 4 and IP.fullmatch(text) is not None and _valid_ip(text)
+    if kind == "email":
+        return EMAIL.search(text) is not None
+    return len(text) >= 16 and bool(digits) and len(digits) < len(text)
 
 
 def _trimmed(data: np.ndarray, kind: str, a: int, b: int) -> tuple[str, int, int]:
     text = data[a:b].tobytes()
-    left = len(text) - len(text.lstrip(b"\"'([{<,.;:=%&*#$"))
+    # The bracket of an area code is part of the number.
+    opening = b"\"'[{<,.;:=%&*#$" if kind == "phone" and b")" in text else b"\"'([{<,.;:=%&*#$"
+    left = len(text) - len(text.lstrip(opening))
     right = len(text.rstrip(b"\"')]}>,.;:=!?%&*#$+-"))
     return kind, a + left, a + max(left, right)
 
@@ -354,9 +374,10 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in sorted(spans, key=lambda s: (s[1], ORDER[s[0]])))
 
 
-def find_spans(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, field: Field, text: str = "text", checked: bool = False) -> DataFrame:
     """Add ``base_spans`` and ``spans`` as ``kind:start:end`` lists, and a count per base kind.
 
+    With ``checked``, spans of the field that cannot be of their kind are dropped, like cards that fail their checksum.
     Columns of these names are replaced.
     """
     counts = [f"n_{kind}" for kind in KINDS]
@@ -369,7 +390,7 @@ def find_spans(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             base, every, numbers = [], [], []
-            for value, more in zip(column, field_spans(column, shared.value)):
+            for value, more in zip(column, field_spans(column, shared.value, checked)):
                 own = pattern_spans(value.as_py())
                 more = [s for s in more if all(s[2] <= a or b <= s[1] for _, a, b in own)]
                 base.append(written(own))

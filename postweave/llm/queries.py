@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postweave.llm import (
-    byte_encoding, conversation_repair, decontamination, language, line_dedup, line_quality, ngram_join,
+    byte_encoding, conversation_repair, decontamination, labelled_lines, language, line_dedup, line_quality, ngram_join,
     packing, periodic_runs, personal_data, piece_encoding, sharding, url_lists)
 from postweave.sources.derive import table
 
@@ -23,10 +23,14 @@ def op1_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.judge(table(spark, folder, "documents"))
 
 
+# Times that the lines labelled by hand count in the training of the field.
+BY_HAND = 3
+
+
 def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    field = personal_data.train(personal_data.weak_labels(docs))
-    return personal_data.find_spans(docs, field).select(
+    field = personal_data.train(BY_HAND * labelled_lines.labelled_lines() + personal_data.weak_labels(docs))
+    return personal_data.find_spans(docs, field, checked=True).select(
         "doc_id", *(f"n_{kind}" for kind in personal_data.KINDS),
         F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 

@@ -137,3 +137,34 @@ def test_long_runs_take_linear_time(text):
     start = time.time()
     P.pattern_spans(text + "@+1")
     assert time.time() - start < 5
+
+
+def test_lines_labelled_by_hand():
+    from postweave.llm.labelled_lines import labelled_lines
+
+    lines = labelled_lines()
+    assert len(lines) > 70 and all(t[a:b].strip() == t[a:b] != "" for t, spans in lines for _, a, b in spans)
+    hit = found = true = beyond = 0
+    # Four folds: each line is labelled by a field that has not seen it.
+    for fold in range(4):
+        held = lines[fold::4]
+        field = P.train([x for i, x in enumerate(lines) if i % 4 != fold])
+        for (text, spans), more in zip(held, P.field_spans(pa.array([t for t, _ in held]), field, True)):
+            base = P.pattern_spans(text)
+            got = {*base, *(s for s in more if all(s[2] <= a or b <= s[1] for _, a, b in base))}
+            hit, found, true = hit + len(got & set(spans)), found + len(got), true + len(spans)
+            beyond += len((got & set(spans)) - set(base))
+    assert hit >= 0.9 * found and hit >= 0.9 * true and beyond >= 15
+
+
+def test_the_field_finds_what_the_patterns_miss():
+    from postweave.llm.labelled_lines import labelled_lines
+
+    field = P.train(labelled_lines())
+    texts = ['THE TOKEN = "1F3870BE274F6C49B3E31A0C6728957F0A4B5C6D" WAS', "the 97563214 4111111111111111 words",
+             "pay 4111111111111112 now", "", "the (312) 555-0144 line"]
+    found = [[(k, t[a:b]) for k, a, b in spans] for t, spans in zip(texts, P.field_spans(pa.array(texts), field, True))]
+    assert found[0] == [("secret", "1F3870BE274F6C49B3E31A0C6728957F0A4B5C6D")]
+    # A number that fails its checksum is no card.
+    assert found[2] == [] and found[3] == []
+    assert found[4] in ([("phone", "(312) 555-0144")], [])
