@@ -15,7 +15,8 @@ entry holds from its own time on, that time included.
 
 Defined cases: a null or unparsable url has no host and is not blocked; so is a capture without a
 time. Entries without key or time are ignored. Repeated captures give repeated result rows.
-Other columns of the captures are ignored; an empty list blocks nothing.
+Other columns of the captures are ignored by ``evaluate`` and kept by ``as_of``; an empty list blocks nothing. Urls of any
+length are taken whole.
 """
 
 from __future__ import annotations
@@ -69,14 +70,16 @@ def _merged(entries: DataFrame) -> DataFrame:
 def as_of(captures: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``listed`` and ``since`` of the entry that holds for each ``(key, at)``, null if none.
 
-    ``captures`` should be a stored table.
+    ``captures`` should be a stored table; columns of theirs with the names of the added ones are replaced.
     """
+    names = [c for c in captures.columns if c not in ("listed", "since")]
+    captures = captures.select("key", "at", F.struct(*names).alias("row"))
     intervals = validity_intervals(entries)
     # The state at the beginning of every day with captures: the interval that spans it.
     wanted = captures.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).groupBy(
         "key", F.to_date("at").alias("day")).agg(F.count("*").alias("rows"))
     events = intervals.select("key", F.to_date("valid_from").alias("day"),
-                              F.struct("valid_from", "listed").alias("state"))
+                              F.struct("valid_from", "listed", "valid_to").alias("state"))
     last = events.groupBy("key", "day").agg(F.max("state").alias("state"))
     timeline = wanted.select("key", "day", F.lit(None).cast(last.schema["state"].dataType).alias("state"),
                              "rows").unionByName(
@@ -88,7 +91,7 @@ def as_of(captures: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) ->
     days = materialize(days.filter(F.col("rows").isNotNull()).select(
         "key", "day", "carried", salts.alias("salts")), "days")
     many = days.filter("salts > 1").select("key", "day", "salts")
-    salt = F.pmod(F.xxhash64(*captures.columns), F.coalesce("salts", F.lit(1))).cast("int")
+    salt = F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int")
     rows = captures.withColumn("day", F.to_date("at")).join(
         F.broadcast(many), ["key", "day"], "left").withColumn("salt", salt).drop("salts")
     # What held when the day began counts as an entry at its beginning, before all others.
@@ -96,7 +99,7 @@ def as_of(captures: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) ->
                           F.col("carried").alias("state"), "salts")
     within = intervals.select("key", F.to_date("valid_from").alias("day"), F.lit(1).alias("order"),
                               F.col("valid_from").alias("at"),
-                              F.struct("valid_from", "listed").alias("state")).join(
+                              F.struct("valid_from", "listed", "valid_to").alias("state")).join(
         days.select("key", "day", "salts"), ["key", "day"])
     states = carried.unionByName(within).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
@@ -104,8 +107,11 @@ def as_of(captures: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) ->
     both = ours.unionByName(states, allowMissingColumns=True)
     running = Window.partitionBy("key", "day", "salt").orderBy("at", "order").rowsBetween(
         Window.unboundedPreceding, 0)
+    # The last interval that began counts up to its end.
+    active = F.col("held.valid_to").isNull() | (F.col("at") < F.col("held.valid_to"))
     return both.withColumn("held", F.last("state", True).over(running)).filter("order = 2").select(
-        *captures.columns, F.col("held.listed").alias("listed"), F.col("held.valid_from").alias("since"))
+        "row.*", F.when(active, F.col("held.listed")).alias("listed"),
+        F.when(active, F.col("held.valid_from")).alias("since"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

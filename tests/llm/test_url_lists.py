@@ -71,3 +71,13 @@ def test_empty_tables(spark):
 def test_query_equals_sql(spark):
     frame = queries.op6_url_lists(spark, SMALL)
     assert difference(frame, database(SMALL).execute(oracles.ORACLES["op6_url_lists"])) == ""
+
+
+def test_columns_of_captures_stay(spark):
+    at = START + dt.timedelta(hours=5)
+    captures = spark.createDataFrame([("x.org", at, 1, 2, "s", 3, True, "r")], "key string, at timestamp, day int, "
+                                     "salt int, state string, order int, listed boolean, row string")
+    entries = spark.createDataFrame([("x.org", False, START)], "key string, listed boolean, at timestamp")
+    row = U.as_of(captures, entries).first().asDict()
+    assert row == {"key": "x.org", "at": at, "day": 1, "salt": 2, "state": "s", "order": 3, "row": "r",
+                   "listed": False, "since": START}
