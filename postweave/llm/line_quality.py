@@ -13,7 +13,8 @@
 Defined cases: a null text has no words and fails the base rule. A null host is a host of its
 own. Rows with a null id get their base metrics; their lines count like others, but none of
 them is rejected for depletion. Repeated rows count as one document. Columns other than
-the named ones pass through ``clean_lines`` unchanged; an empty table gives an empty result.
+the named ones pass through ``clean_lines`` unchanged; an empty table gives an empty result. A very long text is handled
+alone, with arrays of a fixed number of bytes per character.
 """
 
 from __future__ import annotations

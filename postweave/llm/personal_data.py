@@ -13,7 +13,8 @@ of similar length.
 
 Defined cases: a null text has no spans. Offsets count code points, ends are exclusive. Lines end at a line
 feed, words at ASCII white space. Repeated rows give repeated result rows; other columns pass through
-``find_spans``. With nothing to train on, the field finds nothing. An empty table gives an empty result.
+``find_spans``. With nothing to train on, the field finds nothing. An empty table gives an empty result. The patterns read a
+text of any length once; a very long line is decoded word by word, in time that grows with its length.
 """
 
 from __future__ import annotations
