@@ -115,15 +115,18 @@ class Search:
         return None
 
 
-@lru_cache(REMEMBERED)
 def whole_repair(codes: str) -> tuple[int, str]:
     """Cost and edits of a whole conversation."""
     if len(codes) <= BLOCK_ROWS:
-        # All rows can go.
-        return Search(codes, None).cheapest(START, DELETE * len(codes))
-    table = piece_table(codes)
+        return _short_repair(codes)
     return min((cost + INSERT * len(_TAIL[end]), edits + _TAIL[end])
-               for (start, end), (cost, edits) in table.items() if start == START)
+               for (start, end), (cost, edits) in piece_table(codes).items() if start == START)
+
+
+@lru_cache(REMEMBERED)
+def _short_repair(codes: str) -> tuple[int, str]:
+    # All rows can go.
+    return Search(codes, None).cheapest(START, DELETE * len(codes))
 
 
 @lru_cache(REMEMBERED // 10)
