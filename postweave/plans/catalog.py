@@ -311,7 +311,9 @@ def word_vectors(spark, folder):
     # Only the vocabulary is embedded.
     words = _tokens(spark, folder).select(F.explode("token").alias("word"))
     vocabulary = words.groupBy("word").agg(F.count("*").alias("n"))
-    embedded = V.embed_tokens(vocabulary.withColumn("token", F.array("word")))
+    # Few bytes but much work per word: adaptive execution would leave it to a few tasks.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    embedded = V.embed_tokens(vocabulary.repartition(parts, "word").withColumn("token", F.array("word")))
     return embedded.select(
         F.col("word").alias("token"), "n", _checksum(F.col("word_embeddings")).alias("checksum"))
 
