@@ -15,6 +15,7 @@ from postweave.plans import offline
 from postweave.sources import colocated, derive, tables
 from postweave.storage import materialize, scratch_path
 from postweave.streaming import event_time, ingest
+from postweave.streaming.forest import ForestStream
 from postweave.streaming.sample import StreamSample
 from postweave.streaming.online import ComponentStream, NeighborStream, TopicStream, WindowComponents
 
@@ -949,6 +950,15 @@ def stream_components(spark, folder):
     return topics.components()
 
 
+@query
+def stream_forest(spark, folder):
+    """The same components, kept as one pointer per vertex in the state of the stream."""
+    edges = _rule(_near(_vectors(spark, folder))).select("src", "dst")
+    forest = ForestStream(spark, scratch_path(spark, "forest"))
+    forest.start(_as_stream(edges, "arrivals", "src")).awaitTermination()
+    return forest.components()
+
+
 @query
 def stream_sample(spark, folder):
     """A sample of posts that arrive in some batches."""

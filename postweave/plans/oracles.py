@@ -444,6 +444,9 @@ ORACLES: dict[str, str] = {
     "stream_components": f"""WITH RECURSIVE {_components()}
         SELECT id, component FROM topics
         WHERE id IN (SELECT src FROM kept UNION SELECT dst FROM kept)""",
+    "stream_forest": f"""WITH RECURSIVE {_components()}
+        SELECT id, component FROM topics
+        WHERE id IN (SELECT src FROM kept UNION SELECT dst FROM kept)""",
     "window_components": f"""WITH RECURSIVE {_near()},
         dated AS (
           SELECT src, dst, least(a.time_bucket, b.time_bucket) AS older, greatest(a.time_bucket, b.time_bucket) AS newer
