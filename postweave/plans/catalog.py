@@ -411,6 +411,23 @@ def online_pairs(spark, folder):
     return neighbors.online_candidate_counts(batch, buffer)
 
 
+@query
+def close_pairs(spark, folder):
+    """For every post the posts of its candidate buckets below a distance, counted by the join itself."""
+    return neighbors.counts_within(_vectors(spark, folder), CLOSE)
+
+
+@query
+def close_pairs_same_bucket(spark, folder):
+    return neighbors.counts_within(_vectors(spark, folder), CLOSE, "same_bucket")
+
+
+@query
+def online_close_pairs(spark, folder):
+    batch, buffer = _arrivals(spark, folder)
+    return neighbors.online_counts_within(batch, buffer, CLOSE)
+
+
 @query
 def online_neighbors(spark, folder):
     batch, buffer = _arrivals(spark, folder)

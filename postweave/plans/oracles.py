@@ -75,6 +75,12 @@ SELECT a.id, a.time_bucket, count(b.id) AS n_candidates
 FROM fx a LEFT JOIN fx b ON a.id <> b.id AND {SEES[mode]} GROUP BY a.id, a.time_bucket"""
 
 
+def _close(mode: str = "reference") -> str:
+    return f"""WITH {_pairs(mode)}
+SELECT id, time_bucket, count(d) AS n_within
+FROM fx LEFT JOIN pairs ON id = src AND d < {CLOSE} WHERE n > 0 GROUP BY id, time_bucket"""
+
+
 def _neighbors(mode: str = "reference", n: int = N, where: str = "true") -> str:
     return f"WITH {_near(mode, n, where)} SELECT src, dst, round(d, 6) AS sentence_distance FROM near"
 
@@ -293,6 +299,11 @@ ORACLES: dict[str, str] = {
     "threshold_pairs": _neighbors("all", N, f"d < {REACH}"),
     "online_pairs": f"""WITH {VECTORS} SELECT a.id, count(*) AS n_candidates
         FROM fx a JOIN fx b ON a.id <> b.id AND {SEES['online']} GROUP BY a.id""",
+    "close_pairs": _close(),
+    "close_pairs_same_bucket": _close("same_bucket"),
+    "online_close_pairs": f"""WITH {_pairs("online")} SELECT id, count(d) AS n_within
+        FROM fx LEFT JOIN pairs ON id = src AND d < {CLOSE}
+        WHERE n > 0 AND time_bucket >= {NEW_BUCKET} GROUP BY id""",
     "online_neighbors": _neighbors("online"),
     "cosine_distance": f"""WITH {VECTORS} SELECT a.id,
         round(1 - list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS cosine_distance
