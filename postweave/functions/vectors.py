@@ -84,20 +84,24 @@ def embed_tokens(df: DataFrame, encoder: Callable[[], Callable] = hash_encoder,
 
     ``encoder`` is a factory called once per Python worker; what it returns maps a list of distinct
     tokens to a float matrix. The step is narrow, has no vocabulary on the driver, and only
-    the tokens are sent to Python.
+    the tokens are sent to Python. Vectors come back in batches of about ``TOKENS_PER_BATCH`` tokens, however
+    many rows and words come in at once.
     """
 
     @F.arrow_udf("array<array<float>>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder()
-        for column in batches:
-            yield pa.chunked_array([
-                _token_vectors(part, encode) for part in _cut_by_length(column, TOKENS_PER_BATCH)
-            ] or [_token_vectors(column, encode)]).combine_chunks()
+        return _vector_batches(batches, encoder())
 
     return df.withColumn(output, embed(tokens))
 
 
+def _vector_batches(batches: Iterator[pa.Array], encode, limit: int = TOKENS_PER_BATCH) -> Iterator[pa.Array]:
+    """The vectors of all rows; only their number must agree, so each part goes back before the next is made."""
+    for column in batches:
+        for part in _cut_by_length(column, limit):
+            yield _token_vectors(part, encode)
+
+
 def _cut_by_length(column: pa.Array, limit: int) -> Iterator[pa.Array]:
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     groups = np.cumsum(lengths) // limit

@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,11 @@ def test_embedding(spark, monkeypatch):
 def test_scratch_is_per_application(spark):
     path = storage.scratch_path(spark, "x")
     assert spark.sparkContext.applicationId in path and path != storage.scratch_path(spark, "x")
+
+
+def test_vectors_come_back_in_bounded_batches():
+    rows = [["a", "b"] * 5, None, [], *[["c"] * 10] * 57]
+    parts = list(V._vector_batches(iter([pa.array(rows), pa.array(rows[:0], pa.list_(pa.string()))]), V.hash_encoder(), 100))
+    assert len(parts) == 6 and max(len(p.flatten()) for p in parts) <= 100
+    whole = V._token_vectors(pa.array(rows), V.hash_encoder())
+    assert [v for p in parts for v in p.to_pylist()] == whole.to_pylist()
