@@ -8,6 +8,7 @@ Spark's own windows, joins and states run: none of them drops a row, and each fo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -20,6 +21,9 @@ from postweave.storage import committed_batches, is_committed
 AT = "at"
 # Parts that the top list of one window is found in, so that no task sees a whole window.
 TOP_PARTS = 8
+# Parts of the state of a query per core. Every part is a store (four for each join), opened and committed in every batch
+# however little it holds.
+STATES_PER_CORE = 2
 
 
 def with_event_time(rows: DataFrame, column: str) -> DataFrame:
@@ -167,9 +171,22 @@ def merge_tops(tops: DataFrame, n: int, value: str, name: str, key: str) -> Data
         "window_start", key, "place", name, value)
 
 
+@contextmanager
+def _few_states(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in this block keep their state in at most ``STATES_PER_CORE`` parts per core."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), STATES_PER_CORE * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def append_closed(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what a query returns in append mode to a table, until its input is used up."""
-    return (
-        result.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    )
+    with _few_states(result.sparkSession):
+        return (
+            result.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+        )

@@ -194,3 +194,15 @@ def test_components_part_when_posts_leave(spark):
     assert found.components().count() == 5
     found.update(spark.createDataFrame([(90, 91, 9, 9)], schema), 3)
     assert {r["id"]: r["component"] for r in found.components().collect()} == {90: 90, 91: 90}
+
+
+def test_state_has_few_parts_whatever_the_shuffle(spark):
+    key, before, cores = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"), 4
+    spark.conf.set(key, "40")
+    try:
+        found, _, progress = run(spark, batches(1, count=1), lambda rows: E.window_totals(rows, "1 hour", "value", "event_type"))
+        assert spark.conf.get(key) == "40"
+    finally:
+        spark.conf.set(key, before)
+    parts = {s["numShufflePartitions"] for p in progress for s in p["stateOperators"]}
+    assert parts and max(parts) <= E.STATES_PER_CORE * cores and not found.isEmpty()
