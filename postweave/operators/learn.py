@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
-    PCA, HashingTF, IndexToString, NGram, Normalizer, StandardScaler, StringIndexer, VectorAssembler,
+    PCA, IndexToString, Normalizer, StandardScaler, StringIndexer, VectorAssembler,
     Word2Vec)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from postweave.functions.vectors import RANK_DECIMALS, hashed_vector, norm, not_zero
 from postweave.operators.joins import HOT_ROWS, hot_keys, salted_join
@@ -35,6 +40,10 @@ KMEANS_SEED = 1
 WORD_DIMENSIONS = 32
 COMPONENTS = 3
 
+# Hashes of trigrams, and characters of texts that a task turns into trigrams at a time.
+TRIGRAM_HASHES = 1 << 14
+SLICE_CHARACTERS = 500_000
+
 # Words that are trained at most: about 256 bytes of weights each on the driver, 77 MB in all.
 MOST_WORDS = 300_000
 
@@ -347,30 +356,117 @@ def pca(posts: DataFrame, extra: DataFrame | None = None, k: int = COMPONENTS) -
     return model.transform(data).select("id", "label", vector_to_array("pc").alias("pc"))
 
 
-def fit_language_model(posts: DataFrame, features: int = 1 << 14) -> PipelineModel:
-    """Logistic regression on hashed character trigrams of whole texts; needs ``lang``."""
+def fit_language_model(posts: DataFrame, features: int = TRIGRAM_HASHES) -> PipelineModel:
+    """Logistic regression on hashed character trigrams of whole texts; needs ``lang``.
+
+    ``posts`` may come from ``count_trigrams``, which is then not done again.
+    """
     index = StringIndexer(inputCol="lang", outputCol="lang_idx",
                           stringOrderType="alphabetAsc", handleInvalid="skip")
-    grams = NGram(n=3, inputCol="characters", outputCol="grams")
-    counts = HashingTF(inputCol="grams", outputCol="counts", numFeatures=features)
     scaled = Normalizer(inputCol="counts", outputCol="features")
     model = LogisticRegression(
         featuresCol="features", labelCol="lang_idx", predictionCol="language_idx",
         probabilityCol="language_probability", rawPredictionCol="language_raw",
         maxIter=20, regParam=1e-3)
-    data = _characters(posts)
-    fitted = Pipeline(stages=[index, grams, counts, scaled, model]).fit(data)
+    fitted = Pipeline(stages=[index, scaled, model]).fit(_counted(posts, features))
     names = IndexToString(inputCol="language_idx", outputCol="language",
                           labels=fitted.stages[0].labels)
     return PipelineModel([*fitted.stages[1:], names])
 
 
-def _characters(posts: DataFrame) -> DataFrame:
-    return posts.withColumn("characters", F.split(F.lower("text"), ""))
+def detect_language(model: PipelineModel, posts: DataFrame) -> DataFrame:
+    """Add ``language`` to every post; ``posts`` may come from ``count_trigrams``."""
+    return model.transform(_counted(posts, model.stages[1].numFeatures)).drop(
+        "counts", "features", "language_raw", "language_probability", "language_idx")
 
 
-def detect_language(model: PipelineModel, posts: DataFrame) -> DataFrame:
-    """Add ``language`` to every post."""
-    return model.transform(_characters(posts)).drop(
-        "characters", "grams", "counts", "features", "language_raw", "language_probability",
-        "language_idx")
+def _counted(posts: DataFrame, features: int) -> DataFrame:
+    return posts if "counts" in posts.columns else count_trigrams(posts, features=features)
+
+
+def count_trigrams(posts: DataFrame, columns: list[str] | None = None, features: int = TRIGRAM_HASHES) -> DataFrame:
+    """A stored table of ``columns`` (all) and ``counts``: how often each hash of three characters of the text occurs.
+
+    The hashes are those of ``HashingTF`` over ``NGram``. Texts are read once, in slices of a bounded number of
+    characters; a text that is null or shorter than three characters has no trigrams.
+    """
+    kept = posts.columns if columns is None else columns
+    vector = VectorUDT()
+    schema = StructType([*posts.select(*kept).schema.fields, StructField("counts", vector.sqlType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text_slices(batch):
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], _trigram_vectors(part.columns[-1], features)], names=[*kept, "counts"])
+
+    texts = posts.select(*kept, F.lower("text").alias("lowered"))
+    stored = materialize(texts.mapInArrow(run, schema), "trigrams")
+    # Vectors are stored as structs, and read as what MLlib takes.
+    counted = posts.sparkSession.read.schema(
+        StructType([*schema.fields[:-1], StructField("counts", vector)])).parquet(stored.scratch)
+    counted.scratch = stored.scratch
+    return counted
+
+
+def _text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch by the characters of its last column, or single rows."""
+    sizes = pc.fill_null(pc.utf8_length(batch.columns[-1]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = np.cumsum(sizes) // SLICE_CHARACTERS
+    starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else []
+    for start, end in zip(starts, [*starts[1:], len(parts)]):
+        yield batch.slice(start, end - start)
+
+
+def _trigram_vectors(texts: pa.Array, features: int) -> pa.Array:
+    """One sparse vector per text, as MLlib stores it."""
+    found = [x or "" for x in texts.to_pylist()]
+    codes = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32).astype(np.int64)
+    hashes = np.zeros(0, np.int32)
+    if len(codes) > 2:
+        # Also across texts; those are not read below.
+        grams = pa.array(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]).dictionary_encode()
+        hashes = _hash_trigrams(grams.dictionary.to_numpy(), features)[grams.indices.to_numpy()]
+    indices, values, sizes = [], [], []
+    start = 0
+    for text in found:
+        counts = np.bincount(hashes[start:start + max(0, len(text) - 2)], minlength=features)
+        start += len(text)
+        hit = np.flatnonzero(counts)
+        indices.append(hit)
+        values.append(counts[hit])
+        sizes.append(len(hit))
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    joined = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (indices, values))
+    return pa.StructArray.from_arrays([
+        pa.array(np.zeros(len(found), np.int8)), pa.array(np.full(len(found), features, np.int32)),
+        *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind)))
+          for x, kind in zip(joined, (np.int32, np.float64)))], names=["type", "size", "indices", "values"])
+
+
+def _hash_trigrams(grams: np.ndarray, features: int) -> np.ndarray:
+    """The index that ``HashingTF`` gives to three characters with spaces between them: MurmurHash3 of their UTF-8 bytes."""
+    first, second, third = grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF
+    space = np.full(len(grams), 32)
+    spelled = np.column_stack([first, space, second, space, third]).astype(np.uint32)
+    raw = np.char.encode(spelled.view("U5").ravel(), "utf-8").astype("S16").view(np.uint8).reshape(-1, 16)
+    length = 2 + sum(1 + (x >= 0x80) + (x >= 0x800) + (x >= 0x10000) for x in (first, second, third))
+    words = raw.view("<u4").astype(np.uint64)
+    found, low = np.full(len(grams), 42, np.uint64), np.uint64(0xFFFFFFFF)
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by) | x >> np.uint64(32 - by)) & low
+
+    def times(x: np.ndarray, by: int) -> np.ndarray:
+        return x * np.uint64(by) & low
+
+    for place in range(4):
+        mixed = found ^ times(turned(times(words[:, place], 0xCC9E2D51), 15), 0x1B873593)
+        whole, begun = length >= 4 * place + 4, length > 4 * place
+        found = np.where(whole, times(turned(mixed, 13), 5) + np.uint64(0xE6546B64) & low,
+                         np.where(begun, mixed, found))
+    found = found ^ length.astype(np.uint64)
+    found = times(found ^ found >> np.uint64(16), 0x85EBCA6B)
+    found = times(found ^ found >> np.uint64(13), 0xC2B2AE35)
+    # As a signed number, of which the modulo is not negative.
+    return ((found ^ found >> np.uint64(16)).astype(np.uint32).view(np.int32) % features).astype(np.int32)

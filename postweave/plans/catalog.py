@@ -231,10 +231,11 @@ def tokens(spark, folder):
 
 @query
 def language_id(spark, folder):
-    posts = _posts(spark, folder)
+    posts = learn.count_trigrams(_posts(spark, folder), ["id", "lang"])
     model = learn.fit_language_model(posts.filter(~_held_out()))
     found = materialize(learn.detect_language(model, posts).select(
         "id", "lang", "language"), "languages")
+    storage.discard(posts)
     unseen = found.filter(_held_out())
     return _with_quality(found, _accuracy(unseen, "lang", "language"), "accurate", 0.9).select(
         "id", "lang", "accurate")
